@@ -38,5 +38,6 @@ def first_delivery(df: DataFrame, key: str, payload: list[Column | str], order:
     late = F.col(order).isNull() if order else F.lit(False)
     at = F.col(order) if order else F.lit(0)
     rows = rows.select(F.col(key).alias("_key"), F.struct(*columns).alias("_row"), late.alias("_late"), at.alias("_at"))
-    first = rows.groupBy("_key").agg(F.min_by("_row", F.struct("_late", "_at", F.xxhash64(F.to_json("_row")))).alias("_row"))
+    content = F.to_json("_row") if "map<" in dict(rows.dtypes)["_row"] else F.col("_row")  # a map has no hash
+    first = rows.groupBy("_key").agg(F.min_by("_row", F.struct("_late", "_at", F.xxhash64(content))).alias("_row"))
     return first.select(F.col("_key").alias(key), "_row.*")
