@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pair_queries", "overlap_queries", "term_queries", "token_queries", "leak_queries")
+MODULES = ("pair_queries", "overlap_queries", "sample_queries", "term_queries", "token_queries", "leak_queries")
 
 
 def _merged(attribute: str) -> dict:
