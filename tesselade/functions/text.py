@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselade.dims import BAD_ENDINGS, BAD_OPENINGS, CRITERIA, DEFAULT_EVIDENCE, FAKE, REAL, UNCERTAIN
@@ -90,9 +90,24 @@ def _first_fitting(value: Column, separators: str, most: int) -> Column:
     return first(F.filter(parts, lambda p: (p != "") & (word_count(p) <= most) & is_viable_fragment(p)), value)
 
 
-def _ended(value: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(value, "^[ \"']+|[ \"']+$", ""), r"\.\.+", ".")
-    return let(bare, lambda t: F.when((t != "") & ~t.rlike("[.!?]$"), F.concat(t, F.lit("."))).otherwise(t))
+FIRST_SENTENCE = "^.*?(?:[.!?](?= )|$)"  # of cleaned text
+
+
+def _longer(value: Column, most: int) -> Column:
+    """More words than ``most``, in cleaned text."""
+    return value.rlike(f"^(?:[^ ]+ ){{{most}}}[^ ]")
+
+
+def compact_steps(value: Column, most: int) -> list[Callable[[Column], Column]]:
+    """The steps of ``compact_text`` after labels are gone, each on the last one's value."""
+    return [
+        lambda t: F.regexp_extract(t, FIRST_SENTENCE, 0),
+        lambda t: F.when(_longer(t, most), _first_fitting(t, "[;:]", most)).otherwise(t),
+        lambda t: F.when(_longer(t, most), _first_fitting(t, ",", most)).otherwise(t),
+        lambda t: F.when(_longer(t, most), clip_words_plain(t, most)).otherwise(t),
+        lambda t: F.regexp_replace(F.regexp_replace(t, "^[ \"']+|[ \"']+$", ""), r"\.\.+", "."),
+        lambda t: F.when((t != "") & ~t.rlike("[.!?]$"), F.concat(t, F.lit("."))).otherwise(t),
+    ]
 
 
 def compact_text(value: Column, most: int, default: str | Column = "") -> Column:
@@ -102,15 +117,28 @@ def compact_text(value: Column, most: int, default: str | Column = "") -> Column
     viable comma part, else its first words. Ends with a full stop.
     """
     fallback = F.lit(default) if isinstance(default, str) else default
+    result = strip_leading_label(value)
+    for step in compact_steps(value, most):
+        result = let(result, step)
+    return let(result, lambda t: F.when(t == "", fallback).otherwise(t))
 
-    def fit(candidate: Column) -> Column:
-        too_long = lambda t: word_count(t) > most
-        clause = F.when(too_long(candidate), _first_fitting(candidate, "[;:]", most)).otherwise(candidate)
-        comma = let(clause, lambda t: F.when(too_long(t), _first_fitting(t, ",", most)).otherwise(t))
-        clipped = let(comma, lambda t: F.when(too_long(t), clip_words_plain(t, most)).otherwise(t))
-        return let(_ended(clipped), lambda t: F.when(t != "", t).otherwise(fallback))
 
-    return let(strip_leading_label(value), lambda t: F.when(t == "", fallback).otherwise(let(first(sentences(t), t), fit)))
+def with_compact(df: DataFrame, out: str, value: Column, most: int, default: str | Column = "") -> DataFrame:
+    """``compact_text`` as a chain of projections, which is compiled as one stage."""
+    fallback = F.lit(default) if isinstance(default, str) else default
+    df = df.withColumn(out, value).withColumn("_t", strip_leading_label(F.col(out)))
+    for step in compact_steps(value, most):
+        df = df.withColumn("_t", step(F.col("_t")))
+    return df.withColumn(out, F.when(F.col("_t") == "", fallback).otherwise(F.col("_t"))).drop("_t")
+
+
+def with_evidence(df: DataFrame, out: str, value: Column, most: int = 28) -> DataFrame:
+    """``evidence_sentence`` as a chain of projections; a null value stays null."""
+    bare = F.when(value.isNotNull(), strip_leading_label(value))
+    df = df.withColumn(out, bare)
+    df = with_compact(df, "_e", F.replace(F.col(out), F.lit("..."), F.lit(".")), most, DEFAULT_EVIDENCE)
+    none = (F.col(out) == "") | (F.lower(F.col(out)) == DEFAULT_EVIDENCE.lower())
+    return df.withColumn(out, F.when(none, DEFAULT_EVIDENCE).when(F.col(out).isNotNull(), F.col("_e"))).drop("_e")
 
 
 def clip_words(value: Column, most: int) -> Column:
