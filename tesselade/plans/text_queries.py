@@ -94,10 +94,10 @@ SQL_TOKENS = f"regexp_extract_all(lower({sql_clean('text')}), '[\\pL\\pN_]+|[^\\
 
 
 def _docs(**columns):
-    return lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in columns.items()])
+    """Columns of the text, built when the query is: that needs a session."""
+    return lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", *[c(F.col("text")).alias(n) for n, c in columns.items()])
 
 
-TEXT = F.col("text")
 ANCHORS, PREDICTED, ORIGIN = lookup(ANCHOR_ALIASES), lookup(PREDICTION_ALIASES), lookup(ORIGIN_ALIASES)
 ANCHOR_KEYS = {c.lower(): c for c in CRITERIA} | ANCHORS
 
@@ -118,7 +118,7 @@ def canonicalize_alias(spark, sf_dir):
 
 def token_topk(spark, sf_dir):
     """The fifty most frequent tokens: a top-k report."""
-    found = table(spark, sf_dir, "documents").select(F.explode(X.tokens(TEXT)).alias("token"))
+    found = table(spark, sf_dir, "documents").select(F.explode(X.tokens(F.col("text"))).alias("token"))
     return found.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(50)
 
 
@@ -138,19 +138,19 @@ def step1_texts(spark, sf_dir):
 
 
 QUERIES = {
-    "clean_text_docs": _docs(cleaned=X.clean_text(TEXT)),
-    "lookup_key_docs": _docs(lookup_key=X.lookup_key(TEXT)),
-    "sentence_split_counts": _docs(n_sentences=F.size(X.sentences(TEXT))),
-    "first_sentence": _docs(sentence=X.first_sentence(TEXT)),
-    "token_counts": _docs(n_tokens=F.size(X.tokens(TEXT))),
+    "clean_text_docs": _docs(cleaned=lambda t: X.clean_text(t)),
+    "lookup_key_docs": _docs(lookup_key=lambda t: X.lookup_key(t)),
+    "sentence_split_counts": _docs(n_sentences=lambda t: F.size(X.sentences(t))),
+    "first_sentence": _docs(sentence=lambda t: X.first_sentence(t)),
+    "token_counts": _docs(n_tokens=lambda t: F.size(X.tokens(t))),
     "token_topk": token_topk,
-    "truncate_words_docs": _docs(short=X.truncate_words(TEXT, 14), whole=X.truncate_words(TEXT, 0)),
-    "clip_words_plain": _docs(clipped=X.clip_words_plain(TEXT, 25)),
-    "viable_fragments": _docs(viable=X.is_viable_fragment(X.first_sentence(TEXT))),
-    "strip_leading_label": _docs(stripped=X.strip_leading_label(TEXT)),
-    "compact_text": _docs(compact=X.compact_text(TEXT, 12), clipped=X.clip_words(TEXT, 8)),
-    "evidence_sentence": _docs(evidence=X.evidence_sentence(TEXT)),
-    "step1_segment": _docs(segment=X.step1_segment(TEXT)),
+    "truncate_words_docs": _docs(short=lambda t: X.truncate_words(t, 14), whole=lambda t: X.truncate_words(t, 0)),
+    "clip_words_plain": _docs(clipped=lambda t: X.clip_words_plain(t, 25)),
+    "viable_fragments": _docs(viable=lambda t: X.is_viable_fragment(X.first_sentence(t))),
+    "strip_leading_label": _docs(stripped=lambda t: X.strip_leading_label(t)),
+    "compact_text": _docs(compact=lambda t: X.compact_text(t, 12), clipped=lambda t: X.clip_words(t, 8)),
+    "evidence_sentence": _docs(evidence=lambda t: X.evidence_sentence(t)),
+    "step1_segment": _docs(segment=lambda t: X.step1_segment(t)),
     "step1_texts": step1_texts,
     "canonicalize_alias": canonicalize_alias,
     "image_member_normalize": image_member_normalize,
