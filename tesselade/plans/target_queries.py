@@ -182,7 +182,7 @@ ORACLE = {
     "split_summary": _SPLIT + " select label, split, count(*) as n from s group by 1, 2",
     "split_disjoint": "select row_id from split_rows where split = 'train' intersect select row_id from split_rows where split <> 'train'",
     "stratified_sample": _RANKED
-    + ", l as (select label, row_number() over (order by label nulls first) - 1 as i, count(*) over () as k from (select distinct label from lab)) select row_id, r.label from r join l on r.label is not distinct from l.label where rank <= 200 // k + cast(i < 200 % k as integer)",
+    + ", l as (select label, row_number() over (order by label nulls first) - 1 as i, count(*) over () as k from (select distinct label from lab)) select row_id, r.label from r join l on r.label is not distinct from l.label where (select count(*) from lab) <= 200 or rank <= 200 // k + cast(i < 200 % k as integer)",
     "interleave_labels": _RANKED + " select row_id, label, rank as round from r",
     "balanced_slice": _RANKED + f" select row_id, label from r where label in ('{REAL}', '{FAKE}') and rank <= 32",
     "head_n": f"with {_ONE} select row_id, label from lab order by row_id limit 200",

@@ -1,0 +1,24 @@
+import pytest
+
+from tesselade.plans import catalog
+from tests.compare import spark_rows, sql_rows
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_sql(spark, name):
+    assert spark_rows(catalog.queries()[name](spark, SF)) == sql_rows(catalog.oracle_sql()[name], SF)
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+def test_runs(spark, name):
+    assert catalog.queries()[name](spark, SF).count() >= 0
+
+
+def test_registration_needs_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
