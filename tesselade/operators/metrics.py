@@ -130,3 +130,16 @@ def text_scores(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     """All three scores of token arrays, an Arrow batch at a time."""
     pairs = [([] if r is None else list(r), [] if h is None else list(h)) for r, h in zip(reference, hypothesis)]
     return pd.DataFrame({f.__name__: [f(r, h) for r, h in pairs] for f in (bleu_1, rouge_l, meteor)}, dtype="float64")
+
+
+def probe_accuracies(df: DataFrame, gold: str, probes: dict[str, str]) -> DataFrame:
+    """One row: for each probe the rows it predicted, the share it parsed and its accuracy.
+
+    A probe is another prediction of the same rows: of a blank image, of the
+    next row's image, or from the gold trace. A null prediction didn't parse.
+    """
+    cells = []
+    for name, column in probes.items():
+        said = F.col(column)
+        cells += [ratio(F.count(said), F.count("*")).alias(f"{name}_parse_rate"), ratio(F.count_if(said == F.col(gold)), F.count("*")).alias(f"{name}_accuracy")]
+    return df.agg(F.count("*").alias("samples"), *cells)

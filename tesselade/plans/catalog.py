@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("nested_queries", "text_queries", "review_queries", "target_queries", "eval_queries")
+MODULES = ("nested_queries", "text_queries", "review_queries", "target_queries", "eval_queries", "extra_queries")
 
 
 def _merged(attribute: str) -> dict:
