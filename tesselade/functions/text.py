@@ -186,9 +186,15 @@ def any_of(value: Column, markers: Iterable[str]) -> Column:
     return value.rlike("|".join(map(re.escape, markers)))
 
 
+def alias_pattern(alias: str) -> str:
+    """The alias between word boundaries; it begins with the literal, which is searched fast."""
+    word, a = r"[\p{L}\p{N}_]", re.escape(alias)
+    return f"{a}(?<!{word}{a})(?!{word})"
+
+
 def holds_alias(value: Column, alias: str) -> Column:
     """The alias stands between word boundaries, in lower-case text."""
-    return value.rlike(r"(?<![\p{L}\p{N}_])" + re.escape(alias) + r"(?![\p{L}\p{N}_])")
+    return value.contains(alias) & value.rlike(alias_pattern(alias))
 
 
 def sections(value: Column, anywhere: bool = False) -> Column:

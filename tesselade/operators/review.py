@@ -10,8 +10,6 @@ unlike accumulators, counts right under task retries.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +17,6 @@ from tesselade.dims import ANCHOR_ALIASES, ARTIFACT, CONSISTENCIES, CRITERIA, DE
 from tesselade.functions import text as X
 
 KEYS = {c.lower(): c for c in CRITERIA} | lookup(ANCHOR_ALIASES)
-EDGE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 DRAFT_FIELDS = ("proposed_score", "evidence", "support_type", "holmes_span", "artifact_score_conflict", "non_applicable")
 REVIEW_FIELDS = ("verdict", "reason", "score_consistency", "recommended_score")
 
@@ -81,8 +78,7 @@ def anchored(df: DataFrame) -> DataFrame:
     response = F.col("response")
     named = F.transform(X.sections(response), lambda s: F.struct(known_criterion(s["name"]).alias("criterion"), s["body"].alias("body")))
     low = F.lower(X.text(response))
-    pattern = lambda a: EDGE[0] + re.escape(a) + EDGE[1]
-    held = F.array_compact(F.array(*[F.when(X.holds_alias(low, a), F.struct(F.lit(c).alias("criterion"), F.lit(a).alias("alias"), F.lit(pattern(a)).alias("pattern"))) for a, c in lookup(ANCHOR_ALIASES).items()]))
+    held = F.array_compact(F.array(*[F.when(X.holds_alias(low, a), F.struct(F.lit(c).alias("criterion"), F.lit(a).alias("alias"), F.lit(X.alias_pattern(a)).alias("pattern"))) for a, c in lookup(ANCHOR_ALIASES).items()]))
     rows = df.withColumn("_sections", named).withColumn("_held", held).withColumn("_said", X.sentences(response))
     others = [c for c in rows.columns if c not in ("_sections", "_held", "_said", "response")]
     rows = rows.select(*others, "_sections", "_held", "_said", F.posexplode(F.array(*map(F.lit, CRITERIA))).alias("idx", "criterion"))
