@@ -148,3 +148,9 @@ def explanation_surface(normal: Column) -> Column:
     """Eight lines ``criterion | score=s | evidence=e`` and the label's line."""
     line = lambda e: F.concat(e["criterion"], F.lit(" | score="), e.getField("aigc score").cast("string"), F.lit(" | evidence="), e["evidence"])
     return F.array_join(F.concat(F.transform(normal["per_criterion"], line), F.array(F.concat(F.lit("overall_likelihood | "), normal["overall_likelihood"]))), "\n")
+
+
+def task_target(task: Column, final: Column, traced: Column, classes: Column, consistency: Column) -> Column:
+    """The target of a training task as compact JSON, nulls written out."""
+    as_json = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    return F.when(task == "final_json", as_json(final)).when(task == "evidence_trace", as_json(traced)).when(task == "taxonomy_classification", as_json(classes)).when(task == "consistency_check", as_json(consistency))

@@ -94,3 +94,17 @@ def row_summary(df: DataFrame, key: str, label: str) -> DataFrame:
 def same_summary(left: dict, right: dict) -> bool:
     """A stored split may be reused: same seed, ratio and dataset."""
     return left.get("seed") == right.get("seed") and abs(left.get("eval_ratio", 0) - right.get("eval_ratio", 0)) < 1e-12 and left.get("source_dataset") == right.get("source_dataset")
+
+
+def select_rows(df: DataFrame, key: str, split: DataFrame | None = None, ids: DataFrame | None = None, first: int = 0) -> DataFrame:
+    """Rows of a split, of a list of ids, or the first ones in key order.
+
+    ``split`` and ``ids`` are tables whose first column holds keys; ids are
+    compared as text. ``first`` counts only where no ids are given.
+    """
+    if split is not None:
+        df = df.join(split.select(F.col(split.columns[0]).alias(key)).distinct(), key, "left_semi")
+    if ids is not None:
+        wanted = ids.select(F.col(ids.columns[0]).cast("string").alias("_id")).distinct()
+        return df.join(wanted, F.col(key).cast("string") == F.col("_id"), "left_semi")
+    return df.orderBy(key).limit(first) if first > 0 else df

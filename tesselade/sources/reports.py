@@ -27,3 +27,10 @@ def ranking_report(rows: Iterable[dict]) -> str:
     ranked = sorted(rows, key=lambda r: r["rank"])
     best = f"Best: {ranked[0]['path']}" if ranked else "Best: N/A"
     return "\n".join(["# Checkpoints", "", best, "", markdown_table(ranked, ["rank", "path", "overall_accuracy", "overall_macro_f1", "json_parse_rate", "rouge_l", "meteor"])]) + "\n"
+
+
+def throughput(samples: int, seconds: float, total: int | None = None) -> dict[str, float | None]:
+    """Seconds a sample, samples a second, and the seconds that ``total`` still needs."""
+    each = seconds / samples if samples else None
+    left = each * (total - samples) if each is not None and total is not None else None
+    return {"wall_time_sec": seconds, "sec_per_sample": each, "samples_per_sec": samples / seconds if seconds else None, "eta_sec": left}

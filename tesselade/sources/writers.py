@@ -69,3 +69,26 @@ def quarantine(df: DataFrame, name: str, text: str, path: str) -> None:
 
 def append_history(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
+
+
+def materialise_images(members: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """Writes (member, bytes) below ``folder/images``; existing files stay.
+
+    ``folder`` must be one that all executors share. A file appears whole or
+    not at all, so a retried task does no harm.
+    """
+
+    def save(rows) -> None:
+        for r in rows:
+            path = os.path.join(folder, "images", r["member"])
+            if not os.path.normpath(path).startswith(os.path.normpath(os.path.join(folder, "images")) + os.sep):
+                raise ValueError(f"outside of the folder: {r['member']}")
+            if os.path.exists(path) and not overwrite:
+                continue
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            part = f"{path}.{os.getpid()}.part"
+            with open(part, "wb") as f:
+                f.write(r["bytes"])
+            os.replace(part, path)
+
+    members.select("member", "bytes").foreachPartition(save)

@@ -100,3 +100,22 @@ def test_manifest_and_reports(spark, tmp_path):
     assert "Best: a" in M.ranking_report([{"rank": 2, "path": "b"}, {"rank": 1, "path": "a"}]) and "Best: N/A" in M.ranking_report([])
     W.quarantine(spark.createDataFrame([("a/b c.png", "{")], "n string, t string"), "n", "t", str(tmp_path / "q"))
     assert spark.read.parquet(str(tmp_path / "q")).first().name == "a_b_c.png"
+
+
+def test_images_are_written_once(spark, tmp_path):
+    df = spark.createDataFrame([("0_real/a.png", bytearray(b"one"))], "member string, bytes binary")
+    W.materialise_images(df, str(tmp_path))
+    path = tmp_path / "images/0_real/a.png"
+    assert path.read_bytes() == b"one"
+    changed = df.withColumn("bytes", F.lit(b"two"))
+    W.materialise_images(changed, str(tmp_path))
+    assert path.read_bytes() == b"one"
+    W.materialise_images(changed, str(tmp_path), overwrite=True)
+    assert path.read_bytes() == b"two" and not list(tmp_path.rglob("*.part"))
+    with pytest.raises(Exception, match="outside"):
+        W.materialise_images(df.withColumn("member", F.lit("../../x")), str(tmp_path))
+
+
+def test_throughput():
+    assert M.throughput(4, 2.0, 10) == {"wall_time_sec": 2.0, "sec_per_sample": 0.5, "samples_per_sec": 2.0, "eta_sec": 3.0}
+    assert M.throughput(0, 0.0)["sec_per_sample"] is None

@@ -66,3 +66,16 @@ def test_checkpoints(spark):
     assert [r.path for r in ranked_reports(df).orderBy("rank").collect()] == ["a", "b", "c"]
     names = spark.createDataFrame([("checkpoint-9",), ("checkpoint-10",), ("other",)], "n string")
     assert latest_checkpoint(names, "n").first().n == "checkpoint-10"
+
+
+def test_select_rows(spark):
+    from tesselade.operators.splits import select_rows
+
+    df = rows(spark, 20)
+    held = spark.createDataFrame([(1,), (5,), (5,), (30,)], "row_id bigint")
+    ids = spark.createDataFrame([("5",), ("6",)], "id string")
+    keys = lambda found: sorted(r.row_id for r in found.collect())
+    assert keys(select_rows(df, "row_id", split=held)) == [1, 5]
+    assert keys(select_rows(df, "row_id", ids=ids, first=1)) == [5, 6]
+    assert keys(select_rows(df, "row_id", split=held, ids=ids)) == [5]
+    assert keys(select_rows(df, "row_id", first=3)) == [0, 1, 2] and select_rows(df, "row_id").count() == 20
