@@ -103,7 +103,13 @@ def pack(raw: bytes, lengths: np.ndarray, limit: int, overlap: int) -> list[tupl
                 whole = True
         return units
 
-    units = cut(0, total, 0, None)
+    units: list[tuple[int, int]] = []
+    for a, b in cut(0, total, 0, None):
+        # A unit with less of its own than a piece shares goes with a neighbour that has room.
+        if units and min(b - a, units[-1][1] - units[-1][0]) < overlap and b - units[-1][0] <= most:
+            units[-1] = (units[-1][0], b)
+        else:
+            units.append((a, b))
     while len(units) > 1 and units[0][1] < overlap:  # the first piece must hold what the second shares
         units[:2] = [(0, units[1][1])]
     named = [LEVELS[marks[b]] if b in marks else None for _, b in units]
