@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tesselade.dims import BAD_ENDINGS, BAD_OPENINGS, CRITERIA, DEFAULT_EVIDENCE, FAKE, REAL, UNCERTAIN
 
 BLANKS = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
+# Layout of the source texts.
 _SECTION = r"(?s)\n[\t-\r\x1c-\x20\x85\p{Z}]*[0-9]+\.[\t-\r\x1c-\x20\x85\p{Z}]+\*\*(.*?)\*\*:[\t-\r\x1c-\x20\x85\p{Z}]*(.+?)(?=\n[\t-\r\x1c-\x20\x85\p{Z}]*[0-9]+\.[\t-\r\x1c-\x20\x85\p{Z}]+\*\*|\z)"
 _DESCRIPTION = r"(?s)Image Description:[\t-\r\x1c-\x20\x85\p{Z}]*(.+?)(?=\n[\t-\r\x1c-\x20\x85\p{Z}]*Based on the provided|\z)"
 

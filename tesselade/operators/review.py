@@ -188,7 +188,7 @@ def judge(drafts: DataFrame, keys: list[str]) -> DataFrame:
     rows = drafts.withColumns({"_span": X.clean_text(F.col("holmes_span")), "_said": X.clean_text(F.col("evidence")), "_on": F.col("proposed_score") != 0})
     on, span, said = F.col("_on"), F.col("_span"), F.col("_said")
     rows = rows.withColumn("_key", F.lower(F.when(span != "", span).otherwise(said)))
-    # Each rule: condition, verdict, reason; the first that holds decides.
+    # Each rule: condition, verdict, reason; the first that holds decides. The reasons are fixed values.
     risky, specific = F.col("criterion").isin(*HIGH_RISK), X.word_count(said) >= 4
     image = kind == "image_only"
     ladder = [
