@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once a context.
+
+    Workers import it by name, and neither their working folder nor an
+    installation on every host can be relied on.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tesselade_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tesselade-"), "tesselade.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(home):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("tesselade", os.path.relpath(path, home)))
+    context.addPyFile(archive)
+    context._tesselade_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

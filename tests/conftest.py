@@ -18,4 +18,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from tesselade.session import ship
+
+    ship(session)
     return session
