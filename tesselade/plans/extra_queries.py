@@ -10,7 +10,7 @@ from tesselade.functions.clip_tokens import clip_tokens
 from tesselade.functions.jsonscan import repaired_json
 from tesselade.functions.traces import TRACE, normal_trace_json
 from tesselade.operators import derive, metrics, splits
-from tesselade.plans.eval_queries import _gold, _predictions
+from tesselade.plans.eval_queries import _GOLD, _PRED, _gold, _predictions
 from tesselade.plans.target_queries import SEED, _labels
 from tesselade.plans.review_queries import _EDGED, _SRC, _any, _pieces
 from tesselade.plans.text_queries import ORIGIN, sql_canonical, sql_key, sql_member, sql_sentences
@@ -37,7 +37,8 @@ def probe_report(spark, sf_dir):
     rows = shuffled(rows.join(gold, "row_id"), [], "row_id", SEED)
     n = rows.agg(F.count("*")).scalar()
     turned = rows.select((F.col("rank") % n + 1).alias("turn"), F.col("said").alias("next"))
-    return metrics.probe_accuracies(rows.join(turned, F.col("rank") == F.col("turn")), "gold", {"plain": "said", "shuffled": "next"})
+    found = metrics.probe_accuracies(rows.join(turned, F.col("rank") == F.col("turn")), "gold", {"plain": "said", "shuffled": "next"})
+    return found.select("samples", *[F.round(c, 9).alias(c) for c in found.columns[1:]])
 
 
 def derived_build(spark, sf_dir):
@@ -110,7 +111,12 @@ f as (select row_id, case when image like '/%' then image else concat_ws('/', co
 _OAL = "al(o, alias, criterion) as (values " + ", ".join(f"({i}, '{a}', '{c}')" for i, (a, c) in enumerate(ORIGIN.items())) + "),"
 _OCRIT = "crit(idx, criterion) as (values " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(CRITERIA)) + "),"
 _KEY = lambda x: f"regexp_replace({sql_member(x)}, '^images/', '')"
+_SHARE = lambda n: f"round(coalesce({n} / nullif(count(*), 0)::double, 0), 9)"
 ORACLE = {
+    "probe_report": f"""with {_GOLD}, {_PRED}, s as (select row_id, min(j.overall_likelihood) as said from pd where prediction_source = 'student' group by 1),
+r as (select said, g.overall_likelihood as gold, row_number() over (order by md5('{SEED}:' || s.row_id), s.row_id) as rank, count(*) over () as n from s join gold on gold.row_id = s.row_id),
+x as (select a.said, a.gold, b.said as nxt from r a join r b on a.rank = b.rank % b.n + 1)
+select count(*) as samples, {_SHARE('count(said)')} as plain_parse_rate, {_SHARE('count(*) filter (where said = gold)')} as plain_accuracy, {_SHARE('count(nxt)')} as shuffled_parse_rate, {_SHARE('count(*) filter (where nxt = gold)')} as shuffled_accuracy from x""",
     "derived_filelist": _FILES + "select * from f",
     "binary_label_summary": _FILES + "select count(*) filter (where label = 0) as real, count(*) filter (where label = 1) as fake from f",
     "missing_images": f"with m as (select distinct line_no, {sql_member('images[1]')} as member from source_records) select line_no, member from m where member is not null and not exists (select 1 from derived where image is not null and {_KEY('image')} = regexp_replace({sql_member('member')}, '^images/', ''))",
