@@ -14,3 +14,9 @@ def test_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
+def test_plan_has_no_nested_loop_or_row_udf(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython") if x in plan]
