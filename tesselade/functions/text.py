@@ -127,10 +127,12 @@ def compact_text(value: Column, most: int, default: str | Column = "") -> Column
 def with_compact(df: DataFrame, out: str, value: Column, most: int, default: str | Column = "") -> DataFrame:
     """``compact_text`` as a chain of projections, which is compiled as one stage."""
     fallback = F.lit(default) if isinstance(default, str) else default
-    df = df.withColumn(out, value).withColumn("_t", strip_leading_label(F.col(out)))
-    for step in compact_steps(value, most):
-        df = df.withColumn("_t", step(F.col("_t")))
-    return df.withColumn(out, F.when(F.col("_t") == "", fallback).otherwise(F.col("_t"))).drop("_t")
+    steps = compact_steps(value, most)
+    # Each alias is used by the next one, so the whole chain is analysed at once.
+    chain = [strip_leading_label(value).alias("_t0"), *[step(F.col(f"_t{i}")).alias(f"_t{i + 1}") for i, step in enumerate(steps)]]
+    last = F.col(f"_t{len(steps)}")
+    kept = [c for c in df.columns if c != out]
+    return df.select("*", *chain, F.when(last == "", fallback).otherwise(last).alias("_out")).select(*kept, F.col("_out").alias(out))
 
 
 def with_evidence(df: DataFrame, out: str, value: Column, most: int = 28) -> DataFrame:
