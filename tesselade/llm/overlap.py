@@ -3,8 +3,10 @@
 Equal records are folded into classes first, so a group of copies costs one
 class however large it is. Classes are cut into content-defined chunks; the
 digests are joined across splits and the lengths of shared chunks summed into an
-overlap of each record, and pairs that reach what its length lets expect are
-checked word by word. Three filters keep the join small and lose no pair that fits:
+overlap of each record, and pairs that reach what no placing of the edits can
+destroy are checked word by word. Chunks are cut within sentences, which may
+stand in another order, and once more over the whole record, whose sentence ends
+may be lost. Three filters keep the join small and lose no pair that fits:
 
 - weighted prefix: of each record only the rarest chunks are joined, as many as
   leave less than the wanted overlap among the rest;
@@ -17,6 +19,7 @@ checked word by word. Three filters keep the join small and lose no pair that fi
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,15 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesselade.llm.overlap_text import chunks, differing, sentences, word_bits
+from tesselade.llm.overlap_text import chunks, differing, sentences, surviving, word_bits
 from tesselade.operators.joins import salted_join
 from tesselade.session import materialise
 
-MEAN_CHUNK = 3  # words
-# Of two records that differ in a tenth of their words, chunks of this size share 0.49 of
-# the words on average, with a standard deviation of about the root of their number
-# (measured on edited texts of 60 to 240 words). A candidate shares four deviations less.
-SHARED, SPREAD, LEAST_SHARED = 0.49, 4.0, 3
+MEAN_CHUNK = 3  # words; ``surviving`` holds for this mean
 MIN_WORDS = 60
 MAX_DIFFERING = 0.1
 HOT_CLASSES = 5000  # classes of one digest that are joined in one part
@@ -45,9 +44,22 @@ def image_key(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.translate(path, "\\", "/"), r"^\./", ""), "^(?:dataset|images)/", "")
 
 
-def wanted_overlap(words: Column) -> Column:
-    """Words in shared chunks that make a candidate of a record."""
-    return F.greatest(F.lit(float(LEAST_SHARED)), SHARED * words - SPREAD * F.sqrt(words.cast("double")))
+def cut(said: list[list[str]]) -> tuple[dict[int, int], int]:
+    """Words by chunk digest, and how many of them a candidate shares at least.
+
+    A record that fits differs in at most a ninth of the words of this one,
+    either within sentences in any order or as one sequence.
+    """
+    views = [[chunks(s, MEAN_CHUNK) for s in said], [chunks([w for s in said for w in s], MEAN_CHUNK)]]
+    found: Counter[int] = Counter()
+    for view in views:
+        sizes: Counter[int] = Counter()
+        for part in view:
+            for digest, n in part:
+                sizes[digest] += n
+        found |= sizes
+    limit = int(sum(map(len, said)) * MAX_DIFFERING / (1 - MAX_DIFFERING) + 1e-9)
+    return found, max(1, min(surviving([[n for _, n in part] for part in view], limit) for view in views))
 
 
 def _signed(n: int) -> int:
@@ -61,14 +73,12 @@ def _features(batches: Iterator[pd.DataFrame], min_words: int) -> Iterator[pd.Da
             said = sentences(text)
             words = [w for s in said for w in s]
             if len(words) < min_words:
-                out.append((key, image, None, 0, None, None, None))
+                out.append((key, image, None, 0, 0, None, None, None))
                 continue
             group = xxhash.xxh3_128_hexdigest("\n".join(sorted(" ".join(s) for s in said)))
-            cut: dict[int, int] = {}
-            for digest, n in chunks(words, MEAN_CHUNK):
-                cut[_signed(digest)] = cut.get(_signed(digest), 0) + n
-            out.append((key, image, group, len(words), list(cut), list(cut.values()), word_bits(words)))
-        yield pd.DataFrame(out, columns=["key", "image", "class", "words", "digests", "sizes", "bits"])
+            sizes, wanted = cut(said)
+            out.append((key, image, group, len(words), wanted, [_signed(d) for d in sizes], list(sizes.values()), word_bits(words)))
+        yield pd.DataFrame(out, columns=["key", "image", "class", "words", "wanted", "digests", "sizes", "bits"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -93,10 +103,10 @@ def _shared(classes: DataFrame) -> DataFrame:
     held = chunk.select("id", "digest", "size").join(common, "digest").groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("hot"), "digest", "size"))).alias("cs"))
     total = F.aggregate("sizes", F.lit(0), lambda a, n: a + n)
     held = held.select("id", F.transform("cs", _field("digest")).alias("digests"), F.transform("cs", _field("size")).alias("sizes"), F.transform("cs", lambda c: (-c["hot"]).cast("int")).alias("dfs"))
-    held = held.join(classes.select("id", "words", "train", "eval", "bits"), "id")
-    held = materialise(held.where(total >= wanted_overlap(F.col("words"))))
+    held = held.join(classes.select("id", "words", "wanted", "train", "eval", "bits"), "id")
+    held = materialise(held.where(total >= F.col("wanted")))
     # Hottest first: chunks stay out while they and the hotter ones hold less than the wanted overlap.
-    out = F.aggregate("sizes", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")), lambda a, n: F.struct((a["sum"] + n).alias("sum"), (a["n"] + (a["sum"] + n < wanted_overlap(F.col("words"))).cast("int")).alias("n")))["n"]
+    out = F.aggregate("sizes", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")), lambda a, n: F.struct((a["sum"] + n).alias("sum"), (a["n"] + (a["sum"] + n < F.col("wanted")).cast("int")).alias("n")))["n"]
     kept = F.arrays_zip(F.slice("digests", out + 1, F.size("digests")).alias("digest"), F.slice("dfs", out + 1, F.size("dfs")).alias("df"))
     bucket = F.floor(F.log(F.col("words").cast("double")) / F.lit(-math.log(1 - MAX_DIFFERING))).cast("int")
     prefix = held.select("id", "words", "train", "eval", bucket.alias("bucket"), *[F.col("bits")[i].alias(f"b{i}") for i in range(BITS)], F.explode(kept).alias("c"))
@@ -109,10 +119,10 @@ def _shared(classes: DataFrame) -> DataFrame:
     apart = sum((F.bit_count(F.col(f"t{i}").bitwiseXOR(F.col(f"e{i}"))) for i in range(BITS)), F.lit(0))
     alike = (F.col("train_class") != F.col("eval_class")) & (apart <= 2 * MAX_DIFFERING * F.greatest("tw", "ew"))
     pairs = left.join(right, ["digest", "bucket", "part"]).where(alike).select("train_class", "eval_class").distinct()
-    sized = held.select("id", "words", "digests", "sizes")
-    pairs = pairs.join(sized.toDF("train_class", "tw", "td", "ts"), "train_class").join(sized.select("id", "words", "digests").toDF("eval_class", "ew", "ed"), "eval_class")
+    sized = held.select("id", "wanted", "digests", "sizes")
+    pairs = pairs.join(sized.toDF("train_class", "wanted", "td", "ts"), "train_class").join(sized.select("id", "digests").toDF("eval_class", "ed"), "eval_class")
     overlap = F.aggregate(F.zip_with("td", "ts", lambda d, n: F.when(F.array_contains("ed", d), n).otherwise(0)), F.lit(0), lambda a, n: a + n)
-    return pairs.where(overlap >= wanted_overlap(F.greatest("tw", "ew"))).select("train_class", "eval_class")
+    return pairs.where(overlap >= F.col("wanted")).select("train_class", "eval_class")
 
 
 def overlaps(df: DataFrame, splits: DataFrame, key: str, image: str, text: str) -> DataFrame:
@@ -133,12 +143,12 @@ def overlap_pairs(df: DataFrame, splits: DataFrame, key: str, image: str, text:
     role = splits.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col("split") == "train").alias("train"), F.max(F.col("split").isin("eval", "holdout")).alias("eval"))
     role = role.withColumns({"train": F.coalesce("train", F.lit(False)), "eval": F.coalesce("eval", F.lit(False))}).where("train or eval")
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), image_key(F.col(image)).alias("image"), F.col(text).alias("text"))
-    schema = f"key {dict(rows.dtypes)['key']}, image string, class string, words int, digests array<bigint>, sizes array<int>, bits array<bigint>"
+    schema = f"key {dict(rows.dtypes)['key']}, image string, class string, words int, wanted int, digests array<bigint>, sizes array<int>, bits array<bigint>"
     marked = materialise(rows.mapInPandas(lambda batches: _features(batches, MIN_WORDS), schema).join(role, "key"))
     # A class is named by its smallest key from here on; its hash only groups.
     classes = marked.where("class is not null").groupBy("class").agg(
         F.min("key").alias("id"), F.max("words").alias("words"), F.max("train").alias("train"), F.max("eval").alias("eval"),
-        F.first(F.struct("digests", "sizes", "bits")).alias("cut"),
+        F.min_by(F.struct("wanted", "digests", "sizes", "bits"), "key").alias("cut"),
     ).select("class", "id", "words", "train", "eval", "cut.*")
     classes = materialise(classes)
     pairs = materialise(_shared(classes.drop("class")))

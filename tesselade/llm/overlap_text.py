@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import lru_cache
@@ -13,7 +14,7 @@ from tesselade.llm.pair_rules import visible
 _NUMBER = re.compile(r"(?:(?<=\s)|^)[*_#>(\[\- ]*\d{1,2}\s*[.)\]:、](?=\s|[*_])")
 _SENTENCE = re.compile(r"[.!?;。！？；](?=\s|$|[*_\"')\]])|[\r\n]+")
 _WORD = re.compile(r"[^\W_]+")
-WINDOW = 2  # words under the rolling hash
+PRICES = (5, 6, 7)  # words an edit may cost in ``surviving``; every choice gives a bound
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -28,21 +29,46 @@ def _hash(word: str) -> int:
 
 
 def chunks(words: list[str], mean: int) -> list[tuple[int, int]]:
-    """(digest, words) of the chunks; a rolling hash of the words cuts them.
+    """(digest, words) of the chunks; local minima of the word hashes cut them.
 
-    A cut depends on the last two words alone, so an edit moves the cuts
-    beside it and no others, wherever the words stand in the record.
+    A cut depends on the ``(mean - 1) // 2`` words on either side, one at least,
+    so an edit moves the cuts beside it and no others, wherever the words stand
+    in the record. A chunk has two words or more unless there is one in all.
     """
-    found, start, last = [], 0, 0
-    for i, w in enumerate(words):
-        h = _hash(w)
-        if (last * 31 + h) % 0xFFFFFFFB % mean == 0 and i + 1 - start >= WINDOW:
-            found.append((xxhash.xxh3_64_intdigest(" ".join(words[start : i + 1])), i + 1 - start))
-            start = i + 1
-        last = h & 0xFFFFFFFF
-    if start < len(words):
-        found.append((xxhash.xxh3_64_intdigest(" ".join(words[start:])), len(words) - start))
-    return found
+    reach, n = max(1, (mean - 1) // 2), len(words)
+    h = [_hash(w) for w in words]
+    ends = [i + 1 for i in range(1, n - 2) if h[i] < min(h[max(0, i - reach) : i]) and h[i] <= min(h[i + 1 : i + 1 + reach])]
+    return [(xxhash.xxh3_64_intdigest(" ".join(words[start:end])), end - start) for start, end in zip([0, *ends], [*ends, n])] if n else []
+
+
+def surviving(parts: list[list[int]], edits: int) -> int:
+    """Words in chunks that no ``edits`` edits can destroy, wherever they stand.
+
+    ``parts`` has the chunk sizes of each text that is cut by itself, for chunks
+    of mean 3. There a chunk survives if no edit touches it, the two words before
+    it or the word after it. So an edit destroys at most two neighbours, or three
+    whose middle one has two words. The worst choice of edits is bounded by its
+    Lagrange dual: any price of an edit gives a bound.
+    """
+    worst = math.inf
+    for price in PRICES:
+        lost = price * edits
+        for sizes in parts:
+            # most words lost, less the price, up to the chunk before the last three, two, one and up to this one
+            third = second = first = best = 0
+            before = earlier = 0
+            for n in sizes:
+                third, second, first = second, first, best
+                gain = first + n
+                if before and second + before + n > gain:
+                    gain = second + before + n
+                if earlier and before <= 2 and third + earlier + before + n > gain:
+                    gain = third + earlier + before + n
+                best = max(first, gain - price)
+                earlier, before = before, n
+            lost += best
+        worst = min(worst, lost)
+    return sum(map(sum, parts)) - worst
 
 
 def word_bits(words: list[str], longs: int = 4) -> list[int]:

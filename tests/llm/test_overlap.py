@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tesselade.llm.overlap import image_key, overlaps
+from tesselade.llm.overlap import cut, image_key, overlaps
 from tesselade.llm.overlap_text import chunks, differing, edits, sentences, word_bits
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -100,3 +100,53 @@ def test_copies_and_empty(spark):
 def test_image_key(spark):
     df = spark.createDataFrame([("./dataset/a\\b.png",), ("images/a/b.png",), ("dataset/images/c",), ("./x",), (None,)], "p string")
     assert [r[0] for r in df.select(image_key(df.p)).collect()] == ["a/b.png", "a/b.png", "images/c", "x", None]
+
+
+def edited(rng, said, places, kinds):
+    """``said`` with the words at ``places`` (counted through) changed, dropped or preceded by another."""
+    out, at = [], 0
+    for s in said:
+        new = []
+        for w in s:
+            kind = rng.choice(kinds) if at in places else "keep"
+            new += {"keep": [w], "change": [f"z{rng.getrandbits(40)}"], "drop": [], "add": [f"z{rng.getrandbits(40)}", w]}[kind]
+            at += 1
+        if new:
+            out.append(new)
+    return out
+
+
+def test_no_placing_of_edits_and_no_order_loses_a_candidate():
+    rng = random.Random(5)
+    for words in (60, 90, 180, 300, 600, 1200, 2000):
+        for trial in range(8):
+            longest = (1, 8, 20, 40)[trial % 4]
+            said, left = [], words
+            while left:
+                n = min(left, rng.randint((longest + 1) // 2, longest))
+                said.append([rng.choice(WORDS) for _ in range(n)])
+                left -= n
+            most = words // 10
+            start = rng.randrange(10)
+            places = [rng.sample(range(words), most), range(start, words, 10), range(start, start + most), [i + d for i in range(1, words - 19, 20) for d in (0, 3)]]
+            for place in places:
+                for kinds in (["change"], ["drop"], ["add"], ["change", "drop", "add"]):
+                    other = edited(rng, said, set(place[:most]), kinds)
+                    for order in (other, rng.sample(other, len(other)), [[w for s in other for w in s]]):
+                        (a, least_a), (b, least_b) = cut(said), cut(order)
+                        assert sum(n for d, n in a.items() if d in b) >= least_a or least_a == 1
+                        assert sum(n for d, n in b.items() if d in a) >= least_b or least_b == 1
+
+
+def test_evenly_spread_edits_in_shuffled_sentences(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        said = [[rng.choice(WORDS) for _ in range(20)] for _ in range((6, 12, 30, 100)[i % 4])]
+        other = edited(rng, said, set(range(rng.randrange(10), 20 * len(said), 10)), ["change"])
+        rng.shuffle(other)
+        rows += [(i, None, ". ".join(map(" ".join, said)) + "."), (100 + i, None, ". ".join(map(" ".join, other)) + ".")]
+    known = spark.createDataFrame(rows, "row_id bigint, image string, body string")
+    splits = spark.createDataFrame([(k, "train" if k < 100 else "eval") for k, _, _ in rows], "row_id bigint, split string")
+    found = {(r.train_row, r.eval_row) for r in overlaps(known, splits, "row_id", "image", "body").collect()}
+    assert found == {(i, 100 + i) for i in range(40)}
