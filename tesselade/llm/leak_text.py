@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 
-from tesselade.llm.pair_rules import visible
+from tesselade.llm.words import visible
 
 _WORD = re.compile(r"[^\W_]+")
 _ESCAPE = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|([nrtbf])|([\"/'\\]))")

@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import xxhash
 
-from tesselade.llm.pair_rules import visible
+from tesselade.llm.words import visible
 
 _NUMBER = re.compile(r"(?:(?<=\s)|^)[*_#>(\[\- ]*\d{1,2}\s*[.)\]:、](?=\s|[*_])")
 _SENTENCE = re.compile(r"[.!?;。！？；](?=\s|$|[*_\"')\]])|[\r\n]+")
