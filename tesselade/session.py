@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -37,15 +39,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """See that checkpoints have a folder that all executors share.
+
+    ``spark.checkpoint.dir`` names it. Only a local session, whose executors run
+    on this machine, gets a folder of its own, removed when Python ends.
+    """
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() is not None:
+        return
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="tesselade-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.setCheckpointDir(folder)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    a session without it (tests, a laptop) gets a folder of its own.
+    Spark removes the files of a checkpoint that nothing refers to any longer
+    if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tesselade-"))
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
