@@ -1,42 +1,47 @@
 """Records of evaluation splits that also turn up in training.
 
 Equal records are folded into classes first, so a group of copies costs one
-class however large it is. Classes are cut into content-defined chunks; the
-digests are joined across splits and the lengths of shared chunks summed into an
-overlap of each record, and pairs that reach what no placing of the edits can
-destroy are checked word by word. Chunks are cut within sentences, which may
-stand in another order, and once more over the whole record, whose sentence ends
-may be lost. Three filters keep the join small and lose no pair that fits:
-
-- weighted prefix: of each record only the rarest chunks are joined, as many as
-  leave less than the wanted overlap among the rest;
-- length: records that differ in a tenth of their words lie in the same or the
-  next bucket of word counts, buckets being a factor 1 / 0.9 wide;
-- words: an edit changes at most two of a record's distinct words, so the bit
-  maps of hashed words differ in at most two bits an edit.
+class however large it is. Records are cut into content-defined chunks and the
+digests joined across splits; pairs are then checked word by word, and the
+lengths of their shared chunks summed into an overlap fraction of either record.
+Chunks are cut within sentences, which may stand in another order, and once more
+over the whole record, whose sentence ends may be lost. An edit destroys at most
+two chunks, so a pair that fits shares all chunks but two an edit, in one of the
+two ways to cut. Three filters keep the join small and lose no such pair:
+
+- prefix: of an evaluation record only the rarest chunks are joined, as many as
+  leave less than it must share among the rest;
+- length: records that differ in a tenth of their words lie in buckets of word
+  counts that the evaluation record covers;
+- words: an edit changes at most two word counts by one, so the maps of counts
+  by word hash, in Gray code, differ in at most two bits an edit. A small map
+  goes through the join, a larger one then thins out the pairs.
+
+A record of so few chunks that its edits may destroy all of them is joined by its
+words too, of which a pair that fits shares all but one an edit.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesselade.llm.overlap_text import chunks, differing, sentences, surviving, word_bits
+from tesselade.llm.overlap_text import chunks, differing, sentences, word_counts
 from tesselade.operators.joins import salted_join
 from tesselade.session import materialise
 
-MEAN_CHUNK = 3  # words; ``surviving`` holds for this mean
 MIN_WORDS = 60
 MAX_DIFFERING = 0.1
-HOT_CLASSES = 5000  # classes of one digest that are joined in one part
-BITS = 4  # words of 64 bits in the map of a record's words
+HOT_CLASSES = 2000  # evaluation classes of one digest that are joined in one part
+COPIES = 20  # rows of one class whose chunks are joined; of more, one row's stand for all
+SMALL, LARGE = 2, 4  # numbers of 64 bits in the maps of a record's word counts
+VIEWS = 3  # chunks within sentences, chunks of the whole record, words
 
 
 def image_key(path: Column) -> Column:
@@ -44,125 +49,182 @@ def image_key(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.translate(path, "\\", "/"), r"^\./", ""), "^(?:dataset|images)/", "")
 
 
-def cut(said: list[list[str]]) -> tuple[dict[int, int], int]:
-    """Words by chunk digest, and how many of them a candidate shares at least.
+def cut(said: list[list[str]]) -> tuple[dict[int, list[int]], list[int]]:
+    """Counts a view by digest, and what a pair that fits shares in each view.
 
     A record that fits differs in at most a ninth of the words of this one,
-    either within sentences in any order or as one sequence.
+    either within sentences in any order or as one sequence; it shares as much
+    as is stated for either record in one of the views. 0: the view is unused.
     """
-    views = [[chunks(s, MEAN_CHUNK) for s in said], [chunks([w for s in said for w in s], MEAN_CHUNK)]]
-    found: Counter[int] = Counter()
-    for view in views:
-        sizes: Counter[int] = Counter()
-        for part in view:
-            for digest, n in part:
-                sizes[digest] += n
-        found |= sizes
-    limit = int(sum(map(len, said)) * MAX_DIFFERING / (1 - MAX_DIFFERING) + 1e-9)
-    return found, max(1, min(surviving([[n for _, n in part] for part in view], limit) for view in views))
+    whole = [w for s in said for w in s]
+    limit = int(len(whole) * MAX_DIFFERING / (1 - MAX_DIFFERING) + 1e-9)
+    found: dict[int, list[int]] = {}
+    wanted = []
+    for view, texts in enumerate((said, [whole])):
+        total = 0
+        for t in texts:
+            for digest, _, _ in chunks(t):
+                found.setdefault(digest, [0] * VIEWS)[view] += 1
+                total += 1
+        wanted.append(total - 2 * limit)
+    if min(wanted) <= 0:
+        for w in whole:
+            found.setdefault(xxhash.xxh3_64_intdigest(w, seed=1), [0] * VIEWS)[2] += 1
+        return found, [*(max(1, w) for w in wanted), len(whole) - limit]
+    return found, [*wanted, 0]
+
+
+def overlap(a: list[list[str]], b: list[list[str]]) -> tuple[float, float]:
+    """Share of either record's words that stand in chunks of both, by the
+    view that gives more."""
+
+    def share(texts: list[list[str]], known: set[int]) -> float:
+        covered = 0
+        for t in texts:
+            reached = 0
+            for digest, start, end in chunks(t):
+                if digest in known:
+                    covered += end - max(start, reached)
+                    reached = end
+        return covered / max(1, sum(map(len, texts)))
+
+    best = (0.0, 0.0)
+    for left, right in ((a, b), ([[w for s in a for w in s]], [[w for s in b for w in s]])):
+        both = {c[0] for t in left for c in chunks(t)} & {c[0] for t in right for c in chunks(t)}
+        best = max(best, (share(left, both), share(right, both)))
+    return best
 
 
 def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
+def _packed(digest: int, counts: list[int]) -> int:
+    """A digest of 52 bits and the counts of the views, 15 at most."""
+    a, b, c = (min(n, 15) for n in counts)
+    return _signed((digest >> 12 << 12) | a << 8 | b << 4 | c)
+
+
 def _features(batches: Iterator[pd.DataFrame], min_words: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for key, image, text in pdf.itertuples(index=False, name=None):
+        for key, image, train, test, row, text in pdf.itertuples(index=False, name=None):
             said = sentences(text)
             words = [w for s in said for w in s]
             if len(words) < min_words:
-                out.append((key, image, None, 0, 0, None, None, None))
+                out.append((key, image, train, test, row, None, None, 0, None, None, None))
                 continue
-            group = xxhash.xxh3_128_hexdigest("\n".join(sorted(" ".join(s) for s in said)))
-            sizes, wanted = cut(said)
-            out.append((key, image, group, len(words), wanted, [_signed(d) for d in sizes], list(sizes.values()), word_bits(words)))
-        yield pd.DataFrame(out, columns=["key", "image", "class", "words", "wanted", "digests", "sizes", "bits"])
+            group = xxhash.xxh3_128_digest("\n".join(sorted(" ".join(s) for s in said)))
+            found, wanted = cut(said)
+            over = [sum(max(0, n[v] - 15) for n in found.values()) for v in range(VIEWS)]
+            wanted = [max(1, w - x) if w else 0 for w, x in zip(wanted, over)]
+            bits = word_counts(words, SMALL) + word_counts(words, LARGE)
+            out.append((key, image, train, test, row, group, _signed(int.from_bytes(group[:8])), len(words), wanted, [_packed(d, n) for d, n in found.items()], bits))
+        frame = pd.DataFrame(out, columns=["key", "image", "train", "eval", "row", "class", "id", "words", "wanted", "chunks", "bits"])
+        yield frame.astype({"row": "Int64", "id": "Int64"})
+
 
+@F.pandas_udf(T.StructType([T.StructField("train", T.DoubleType()), T.StructField("eval", T.DoubleType())]))
+def _near(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Overlap fractions of both texts, null if they differ in too many words."""
 
-@F.pandas_udf(T.BooleanType())
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x: str, y: str) -> bool:
+    def one(x: str, y: str) -> tuple[float, float] | tuple[None, None]:
         left, right = sentences(x), sentences(y)
         limit = int(MAX_DIFFERING * max(sum(map(len, left)), sum(map(len, right))))
-        return differing(left, right, limit) <= limit
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
-
-
-def _field(name: str):
-    return lambda c: c[name]
-
-
-def _shared(classes: DataFrame) -> DataFrame:
-    """(train_class, eval_class) of different classes with enough overlap."""
-    chunk = classes.select("id", "train", "eval", F.explode(F.arrays_zip("digests", "sizes")).alias("c")).select("id", "train", "eval", F.col("c.digests").alias("digest"), F.col("c.sizes").alias("size"))
-    # Only digests of two classes or more can be shared; the rest stays in the prefix by right, as the rarest.
-    common = chunk.groupBy("digest").agg(F.count("*").alias("df"), F.max("train").alias("t"), F.max("eval").alias("e")).where("df > 1 and t and e").select("digest", "df")
-    held = chunk.select("id", "digest", "size").join(common, "digest").groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("hot"), "digest", "size"))).alias("cs"))
-    total = F.aggregate("sizes", F.lit(0), lambda a, n: a + n)
-    held = held.select("id", F.transform("cs", _field("digest")).alias("digests"), F.transform("cs", _field("size")).alias("sizes"), F.transform("cs", lambda c: (-c["hot"]).cast("int")).alias("dfs"))
-    held = held.join(classes.select("id", "words", "wanted", "train", "eval", "bits"), "id")
-    held = materialise(held.where(total >= F.col("wanted")))
-    # Hottest first: chunks stay out while they and the hotter ones hold less than the wanted overlap.
-    out = F.aggregate("sizes", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")), lambda a, n: F.struct((a["sum"] + n).alias("sum"), (a["n"] + (a["sum"] + n < F.col("wanted")).cast("int")).alias("n")))["n"]
-    kept = F.arrays_zip(F.slice("digests", out + 1, F.size("digests")).alias("digest"), F.slice("dfs", out + 1, F.size("dfs")).alias("df"))
-    bucket = F.floor(F.log(F.col("words").cast("double")) / F.lit(-math.log(1 - MAX_DIFFERING))).cast("int")
-    prefix = held.select("id", "words", "train", "eval", bucket.alias("bucket"), *[F.col("bits")[i].alias(f"b{i}") for i in range(BITS)], F.explode(kept).alias("c"))
+        return overlap(left, right) if differing(left, right, limit) <= limit else (None, None)
+
+    return pd.DataFrame([one(x, y) for x, y in zip(a, b)], columns=["train", "eval"], dtype=float)
+
+
+def _bucket(words: Column | float) -> Column:
+    """Buckets of word counts a factor 1 / 0.81 wide."""
+    return F.floor(F.log(words) / F.lit(-2 * math.log(1 - MAX_DIFFERING))).cast("int")
+
+
+def _few_apart(maps: list[tuple[Column, Column]]) -> Column:
+    """The maps of word counts of two records of tw and ew words are near enough."""
+    turned = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in maps), F.lit(0))
+    return turned <= 2 * F.floor(MAX_DIFFERING * F.greatest("tw", "ew") + 1e-9)
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(train_id, eval_id) of different classes that may be near, from one row
+    or a few of each."""
+    maps = [f"b{i}" for i in range(SMALL)]
+    wide = rows.withColumn("words", F.col("words").cast("double"))
+    rows = wide.select("id", "train", "eval", "words", "wanted", "chunks", *[F.col("bits")[i].alias(b) for i, b in enumerate(maps)])
+    digest = F.shiftright("c", 12)
+    # Of an evaluation record the hottest chunks stay out while they hold less than it must share.
+    chunk = rows.where("eval").select("id", "words", "wanted", *maps, F.explode("chunks").alias("c")).withColumn("digest", digest)
+    counted = chunk.groupBy("digest").agg(F.count("*").alias("df"))
+    hottest = Window.partitionBy("id").orderBy(F.desc("df"), "digest")
+    kept = chunk.join(counted, "digest")
+    needed = F.lit(False)
+    for view in range(VIEWS):
+        n = F.shiftright("c", 8 - 4 * view).bitwiseAND(15)
+        kept = kept.withColumn(f"upto{view}", F.sum(n).over(hottest))
+        needed |= (n > 0) & (F.col(f"upto{view}") >= F.col("wanted")[view])
     # A digest of many classes is split by a hash of the training class; its evaluation side goes to every part.
-    prefix = prefix.select("*", "c.digest", F.ceil(F.col("c.df") / HOT_CLASSES).cast("int").alias("parts")).drop("c")
-    left = prefix.where("train").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    left = left.select(F.col("id").alias("train_class"), F.col("words").alias("tw"), "bucket", "digest", "part", *[F.col(f"b{i}").alias(f"t{i}") for i in range(BITS)])
-    right = prefix.where("eval").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    right = right.select(F.col("id").alias("eval_class"), F.col("words").alias("ew"), "bucket", "digest", "part", *[F.col(f"b{i}").alias(f"e{i}") for i in range(BITS)])
-    apart = sum((F.bit_count(F.col(f"t{i}").bitwiseXOR(F.col(f"e{i}"))) for i in range(BITS)), F.lit(0))
-    alike = (F.col("train_class") != F.col("eval_class")) & (apart <= 2 * MAX_DIFFERING * F.greatest("tw", "ew"))
-    pairs = left.join(right, ["digest", "bucket", "part"]).where(alike).select("train_class", "eval_class").distinct()
-    sized = held.select("id", "wanted", "digests", "sizes")
-    pairs = pairs.join(sized.toDF("train_class", "wanted", "td", "ts"), "train_class").join(sized.select("id", "digests").toDF("eval_class", "ed"), "eval_class")
-    overlap = F.aggregate(F.zip_with("td", "ts", lambda d, n: F.when(F.array_contains("ed", d), n).otherwise(0)), F.lit(0), lambda a, n: a + n)
-    return pairs.where(overlap >= F.col("wanted")).select("train_class", "eval_class")
+    parts = F.ceil(F.col("df") / HOT_CLASSES).cast("int")
+    hot = counted.where(F.col("df") > HOT_CLASSES).select("digest", parts.alias("parts"))
+    covered = F.sequence(_bucket(F.col("words") * (1 - MAX_DIFFERING) - 1e-6), _bucket(F.col("words") / (1 - MAX_DIFFERING) + 1e-6))
+    right = kept.where(needed).select(F.col("id").alias("eval_id"), F.col("words").alias("ew"), *[F.col(b).alias(f"e{b}") for b in maps], "digest", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), covered.alias("covered"))
+    right = right.select("*", F.explode("covered").alias("bucket")).drop("covered")
+    left = rows.where("train").select(F.col("id").alias("train_id"), F.col("words").alias("tw"), *[F.col(b).alias(f"t{b}") for b in maps], F.explode("chunks").alias("c"))
+    left = left.withColumns({"digest": digest, "bucket": _bucket(F.col("tw"))}).drop("c").join(hot, "digest", "left")
+    left = left.withColumn("part", F.pmod(F.xxhash64("train_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    alike = (F.col("train_id") != F.col("eval_id")) & _few_apart([(F.col(f"t{b}"), F.col(f"e{b}")) for b in maps])
+    met = left.join(right, ["digest", "bucket", "part"]).where(alike).select("train_id", "eval_id").distinct()
+    larger = wide.groupBy("id").agg(F.first("words").alias("words"), F.first("bits").alias("bits"))
+    met = met.join(larger.toDF("train_id", "tw", "tb"), "train_id").join(larger.toDF("eval_id", "ew", "eb"), "eval_id")
+    return met.where(_few_apart([(F.col("tb")[i], F.col("eb")[i]) for i in range(SMALL, SMALL + LARGE)])).select("train_id", "eval_id")
 
 
 def overlaps(df: DataFrame, splits: DataFrame, key: str, image: str, text: str) -> DataFrame:
     """(train_row, eval_row): the distinct rows of ``overlap_pairs``."""
-    return overlap_pairs(df, splits, key, image, text).distinct()
+    return overlap_pairs(df, splits, key, image, text).select("train_row", "eval_row").distinct()
 
 
 def overlap_pairs(df: DataFrame, splits: DataFrame, key: str, image: str, text: str) -> DataFrame:
-    """(train_row, eval_row): all pairs with one side in each, a row a reason.
+    """(train_row, eval_row, train_overlap, eval_overlap): all pairs with one
+    side in each, a row a reason.
 
     A pair has one key, one image (see ``image_key``; null images match
     nothing) or nearly one text. ``splits`` gives (key, split), with ``train``
     for training and ``eval`` or ``holdout`` for evaluation; repeated lines
     and rows count once, keys without a split or a record give nothing but,
     for a key in both, the pair with itself. Null or short texts match by key
-    or image only. Rows without key are left out.
+    or image only. Rows without key are left out. The fractions of words in
+    shared chunks are 1 for equal texts and null for pairs by key or image.
     """
     role = splits.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.col("split") == "train").alias("train"), F.max(F.col("split").isin("eval", "holdout")).alias("eval"))
     role = role.withColumns({"train": F.coalesce("train", F.lit(False)), "eval": F.coalesce("eval", F.lit(False))}).where("train or eval")
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), image_key(F.col(image)).alias("image"), F.col(text).alias("text"))
-    schema = f"key {dict(rows.dtypes)['key']}, image string, class string, words int, wanted int, digests array<bigint>, sizes array<int>, bits array<bigint>"
-    marked = materialise(rows.mapInPandas(lambda batches: _features(batches, MIN_WORDS), schema).join(role, "key"))
-    # A class is named by its smallest key from here on; its hash only groups.
-    classes = marked.where("class is not null").groupBy("class").agg(
-        F.min("key").alias("id"), F.max("words").alias("words"), F.max("train").alias("train"), F.max("eval").alias("eval"),
-        F.min_by(F.struct("wanted", "digests", "sizes", "bits"), "key").alias("cut"),
-    ).select("class", "id", "words", "train", "eval", "cut.*")
-    classes = materialise(classes)
-    pairs = materialise(_shared(classes.drop("class")))
-    wanted = pairs.select(F.col("train_class").alias("key")).union(pairs.select("eval_class")).distinct()
-    texts = materialise(rows.select("key", "text").join(wanted, "key").groupBy("key").agg(F.max("text").alias("text")))
-    near = pairs.join(texts.toDF("train_class", "a"), "train_class").join(texts.toDF("eval_class", "b"), "eval_class").where(_near("a", "b")).select("train_class", "eval_class")
-    same = classes.where("train and eval").select(F.col("id").alias("train_class"), F.col("id").alias("eval_class"))
-    matched = near.union(same)
-    member = marked.where("class is not null").select("key", "class", "train", "eval").distinct().join(classes.select("class", "id"), "class")
-    train = member.where("train").select(F.col("key").alias("train_row"), F.col("id").alias("train_class"))
-    evals = member.where("eval").select(F.col("key").alias("eval_row"), F.col("id").alias("eval_class"))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), image_key(F.col(image)).alias("image"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    named = f"key {dict(rows.dtypes)['key']}, image string, train boolean, eval boolean, row bigint"
+    schema = f"{named}, class binary, id bigint, words int, wanted array<int>, chunks array<bigint>, bits array<bigint>"
+    marked = rows.join(role, "key").select("key", "image", "train", "eval", "row", "text").mapInPandas(lambda batches: _features(batches, MIN_WORDS), schema)
+    marked = materialise(marked.withColumn("at", F.monotonically_increasing_id()))
+    # Copies of one record have one class, and one of them stands for a class of many.
+    popular = marked.where("class is not null").groupBy("class").agg(F.count("*").alias("n"), F.min("at").alias("at"), F.max("train").alias("t"), F.max("eval").alias("e")).where(F.col("n") > COPIES)
+    popular = popular.select("class", F.col("at").alias("first"), "t", "e")
+    standing = marked.where("class is not null").join(popular, "class", "left").where("first is null or first = at")
+    standing = standing.withColumns({"train": F.coalesce("t", "train"), "eval": F.coalesce("e", "eval")})
+    pairs = materialise(_shared(standing))
+    wanted = pairs.select(F.col("train_id").alias("id")).union(pairs.select("eval_id")).distinct()
+    stored = marked.where("class is not null").select("id", "row").join(wanted, "id").groupBy("id").agg(F.min("row").alias("row"))
+    texts = materialise(rows.select("row", "text").join(stored, "row").groupBy("id").agg(F.first("text").alias("text")))
+    near = pairs.join(texts.toDF("train_id", "a"), "train_id").join(texts.toDF("eval_id", "b"), "eval_id").select("train_id", "eval_id", _near("a", "b").alias("overlap"))
+    near = near.where("overlap.eval is not null").select("train_id", "eval_id", F.col("overlap.train").alias("train_overlap"), F.col("overlap.eval").alias("eval_overlap"))
+    member = marked.where("class is not null").select("key", "id", "class", "train", "eval").distinct()
+    same = member.groupBy("class", "id").agg(F.max("train").alias("train"), F.max("eval").alias("eval")).where("train and eval")
+    same = same.select(F.col("id").alias("train_id"), F.col("id").alias("eval_id"), F.lit(1.0).alias("train_overlap"), F.lit(1.0).alias("eval_overlap"))
+    train = member.where("train").select(F.col("key").alias("train_row"), F.col("id").alias("train_id")).distinct()
+    evals = member.where("eval").select(F.col("key").alias("eval_row"), F.col("id").alias("eval_id")).distinct()
     # Both joins multiply out groups of copies, so hot groups are split.
-    by_text = salted_join(train, matched.join(evals, "eval_class").select("train_class", "eval_row"), ["train_class"]).select("train_row", "eval_row")
+    columns = ["train_row", "eval_row", "train_overlap", "eval_overlap"]
+    by_text = salted_join(train, near.union(same).join(evals, "eval_id").drop("eval_id"), ["train_id"]).select(*columns)
     shown = marked.where("image is not null").select("key", "image", "train", "eval").distinct()
     by_image = salted_join(shown.where("train").select(F.col("key").alias("train_row"), "image"), shown.where("eval").select(F.col("key").alias("eval_row"), "image"), ["image"]).select("train_row", "eval_row")
     by_key = role.where("train and eval").select(F.col("key").alias("train_row"), F.col("key").alias("eval_row"))
-    return by_text.union(by_image).union(by_key)
+    unread = by_image.union(by_key).withColumns({c: F.lit(None).cast("double") for c in columns[2:]})
+    return by_text.union(unread)

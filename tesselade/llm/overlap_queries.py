@@ -20,10 +20,16 @@ def p2_counts(spark, sf_dir):
     """Pairs, evaluation rows and training rows per evaluation split and source."""
     split = table(spark, sf_dir, "split_rows").where(F.col("split").isin("eval", "holdout")).select(F.col("row_id").alias("eval_row"), "split").distinct()
     source = table(spark, sf_dir, "derived").groupBy(F.col("row_id").alias("eval_row")).agg(F.min("source").alias("source"))
-    pairs = _pairs(spark, sf_dir).distinct().join(split, "eval_row").join(source, "eval_row", "left")
+    pairs = _pairs(spark, sf_dir).select("train_row", "eval_row").distinct().join(split, "eval_row").join(source, "eval_row", "left")
     by_eval = pairs.groupBy("split", "source", "eval_row").agg(F.count("*").alias("pairs"))
     return by_eval.groupBy("split", "source").agg(F.sum("pairs").alias("pairs"), F.count("*").alias("eval_rows"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts}
+def p2_overlaps(spark, sf_dir):
+    """Overlap fractions of every evaluation record whose text is in training."""
+    by_text = _pairs(spark, sf_dir).where("eval_overlap is not null").distinct()
+    return by_text.groupBy("eval_row").agg(F.count("*").alias("train_rows"), F.max("eval_overlap").alias("overlap"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p2_overlaps": p2_overlaps}
 ORACLE: dict[str, str] = {}

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from functools import lru_cache
 
 import xxhash
 
-from tesselade.llm.words import visible
+from tesselade.llm.words import WORD, folded, visible
 
 _NUMBER = re.compile(r"(?:(?<=\s)|^)[*_#>(\[\- ]*\d{1,2}\s*[.)\]:、](?=\s|[*_])")
 _SENTENCE = re.compile(r"[.!?;。！？；](?=\s|$|[*_\"')\]])|[\r\n]+")
-_WORD = re.compile(r"[^\W_]+")
-PRICES = (5, 6, 7)  # words an edit may cost in ``surviving``; every choice gives a bound
+BEFORE, AFTER = 1, 2  # words beside a cut that stand in its chunk
 
 
 def sentences(text: str | None) -> list[list[str]]:
     """Words of each sentence; numbers of items are left out."""
-    shown = _NUMBER.sub(" ", visible(text).lower())
-    return [w for s in _SENTENCE.split(shown) if (w := _WORD.findall(s))]
+    shown = _NUMBER.sub(" ", folded(visible(text)))
+    return [w for s in _SENTENCE.split(shown) if (w := WORD.findall(s))]
 
 
 @lru_cache(1 << 17)
@@ -28,55 +26,35 @@ def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def chunks(words: list[str], mean: int) -> list[tuple[int, int]]:
-    """(digest, words) of the chunks; local minima of the word hashes cut them.
+def chunks(words: list[str]) -> list[tuple[int, int, int]]:
+    """(digest, start, end) of the content-defined chunks, which overlap.
 
-    A cut depends on the ``(mean - 1) // 2`` words on either side, one at least,
-    so an edit moves the cuts beside it and no others, wherever the words stand
-    in the record. A chunk has two words or more unless there is one in all.
+    Local minima of the rolling word hashes cut, one in three words or so. The
+    chunk of a cut has the word before it and the two after it, with a mark
+    where the text ends, and holds all words that make the cut. As two minima
+    are never neighbours, an edit of one word, wherever it stands, destroys at
+    most two chunks and moves no other.
     """
-    reach, n = max(1, (mean - 1) // 2), len(words)
+    n = len(words)
     h = [_hash(w) for w in words]
-    ends = [i + 1 for i in range(1, n - 2) if h[i] < min(h[max(0, i - reach) : i]) and h[i] <= min(h[i + 1 : i + 1 + reach])]
-    return [(xxhash.xxh3_64_intdigest(" ".join(words[start:end])), end - start) for start, end in zip([0, *ends], [*ends, n])] if n else []
+    out = []
+    for i in range(n):
+        if (i == 0 or h[i] < h[i - 1]) and (i == n - 1 or h[i] <= h[i + 1]):
+            start, end = i - BEFORE, i + AFTER + 1
+            content = " ".join(words[max(0, start) : end])
+            out.append((xxhash.xxh3_64_intdigest(f"{min(0, start)} {content} {min(0, n - end)}"), max(0, start), min(n, end)))
+    return out
 
 
-def surviving(parts: list[list[int]], edits: int) -> int:
-    """Words in chunks that no ``edits`` edits can destroy, wherever they stand.
+def word_counts(words: list[str], longs: int) -> list[int]:
+    """Counts of the words by hash, modulo 4 and in Gray code, 32 to a number.
 
-    ``parts`` has the chunk sizes of each text that is cut by itself, for chunks
-    of mean 3. There a chunk survives if no edit touches it, the two words before
-    it or the word after it. So an edit destroys at most two neighbours, or three
-    whose middle one has two words. The worst choice of edits is bounded by its
-    Lagrange dual: any price of an edit gives a bound.
+    One word more or less turns one bit, so an edit turns at most two.
     """
-    worst = math.inf
-    for price in PRICES:
-        lost = price * edits
-        for sizes in parts:
-            # most words lost, less the price, up to the chunk before the last three, two, one and up to this one
-            third = second = first = best = 0
-            before = earlier = 0
-            for n in sizes:
-                third, second, first = second, first, best
-                gain = first + n
-                if before and second + before + n > gain:
-                    gain = second + before + n
-                if earlier and before <= 2 and third + earlier + before + n > gain:
-                    gain = third + earlier + before + n
-                best = max(first, gain - price)
-                earlier, before = before, n
-            lost += best
-        worst = min(worst, lost)
-    return sum(map(sum, parts)) - worst
-
-
-def word_bits(words: list[str], longs: int = 4) -> list[int]:
-    """Bit map of the distinct words, as signed 64-bit numbers."""
-    bits = 0
-    for w in set(words):
-        bits |= 1 << (_hash(w) % (64 * longs))
-    parts = [(bits >> (64 * i)) & 0xFFFFFFFFFFFFFFFF for i in range(longs)]
+    counts = Counter(_hash(w) % (32 * longs) for w in words)
+    parts = [0] * longs
+    for place, n in counts.items():
+        parts[place // 32] |= (n & 3 ^ (n & 3) >> 1) << 2 * (place % 32)
     return [p - (1 << 64) if p >> 63 else p for p in parts]
 
 

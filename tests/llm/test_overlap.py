@@ -1,10 +1,13 @@
 import random
+from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tesselade.llm.overlap import cut, image_key, overlaps
-from tesselade.llm.overlap_text import chunks, differing, edits, sentences, word_bits
+from tesselade.llm import overlap as O
+from tesselade.llm.overlap import cut, image_key, overlap_pairs, overlaps
+from tesselade.llm.overlap_text import chunks, differing, edits, sentences, word_counts
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -24,23 +27,25 @@ def test_edits(a, b):
     assert edits(a, b) == plain_edits(a, b)
 
 
-def test_chunks_cover_and_move_locally():
-    rng = random.Random(1)
-    said = [rng.choice(WORDS) for _ in range(300)]
-    cut = chunks(said, 4)
-    assert sum(n for _, n in cut) == 300
-    changed = said[:150] + ["other"] + said[150:]
-    assert len({d for d, _ in cut} & {d for d, _ in chunks(changed, 4)}) >= len(cut) - 4
+@given(st.lists(st.sampled_from(WORDS[:30]), min_size=1, max_size=60), st.data())
+@settings(max_examples=300, deadline=None)
+def test_an_edit_destroys_two_chunks_at_most(said, data):
+    at = data.draw(st.integers(0, len(said) - 1))
+    kind = data.draw(st.sampled_from(["change", "drop", "add"]))
+    other = said[:at] + {"change": ["zz"], "drop": [], "add": ["zz", said[at]]}[kind] + said[at + 1 :]
+    mine, theirs = Counter(d for d, _, _ in chunks(said)), Counter(d for d, _, _ in chunks(other))
+    assert sum((mine - theirs).values()) <= 2
 
 
-def test_word_bits_bound():
+def test_word_counts_bound():
     rng = random.Random(2)
     for _ in range(50):
         a = [rng.choice(WORDS) for _ in range(80)]
         b = list(a)
         for i in rng.sample(range(80), 8):
             b[i] = rng.choice(WORDS)
-        assert sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(word_bits(a), word_bits(b))) <= 2 * 8
+        del b[3]
+        assert sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(word_counts(a, 2), word_counts(b, 2))) <= 2 * 8 + 1
 
 
 def test_order_numbers_and_marks_do_not_count():
@@ -133,9 +138,50 @@ def test_no_placing_of_edits_and_no_order_loses_a_candidate():
                 for kinds in (["change"], ["drop"], ["add"], ["change", "drop", "add"]):
                     other = edited(rng, said, set(place[:most]), kinds)
                     for order in (other, rng.sample(other, len(other)), [[w for s in other for w in s]]):
-                        (a, least_a), (b, least_b) = cut(said), cut(order)
-                        assert sum(n for d, n in a.items() if d in b) >= least_a or least_a == 1
-                        assert sum(n for d, n in b.items() if d in a) >= least_b or least_b == 1
+                        (mine, wanted), (theirs, other_wanted) = cut(said), cut(order)
+                        shared = [sum(min(n[v], theirs[d][v]) for d, n in mine.items() if d in theirs) for v in range(3)]
+                        used = [v for v in range(3) if wanted[v] and other_wanted[v]]
+                        assert any(shared[v] >= max(wanted[v], other_wanted[v]) for v in used)
+
+
+def test_few_chunks_fall_back_on_words():
+    said = [["a"] * 30 + ["b"] * 40]
+    found, wanted = cut(said)
+    assert wanted == [1, 1, 70 - 7] and sum(n[2] for n in found.values()) == 70
+
+
+@pytest.mark.parametrize("words", [60, 200, 600, 1200, 4000])
+def test_edits_inside_the_longest_chunks(spark, words):
+    """A tenth of the words replaced where the cuts lie farthest apart."""
+    rng = random.Random(words)
+    rows = []
+    for i in range(10):
+        said = [rng.choice(WORDS) for _ in range(words)]
+        starts = sorted((start for _, start, _ in chunks(said)))
+        gaps = sorted(zip(starts, [*starts[1:], words]), key=lambda g: g[0] - g[1])
+        places = {at for start, end in gaps for at in range(start + 1, end)}
+        other = list(said)
+        for at in [p for start, end in gaps for p in range(start + 1, end) if p in places][: words // 10]:
+            other[at] = f"z{rng.getrandbits(40)}"
+        rows += [(i, None, " ".join(said)), (100 + i, None, " ".join(other))]
+    known = spark.createDataFrame(rows, "row_id bigint, image string, body string")
+    splits = spark.createDataFrame([(k, "train" if k < 100 else "eval") for k, _, _ in rows], "row_id bigint, split string")
+    found = overlap_pairs(known, splits, "row_id", "image", "body").collect()
+    assert {(r.train_row, r.eval_row) for r in found} == {(i, 100 + i) for i in range(10)}
+    assert all(0 < r.train_overlap < 1 and 0 < r.eval_overlap < 1 for r in found)
+
+
+def test_popular_copies(spark, monkeypatch):
+    monkeypatch.setattr(O, "COPIES", 3)
+    monkeypatch.setattr(O, "HOT_CLASSES", 2)
+    rng = random.Random(8)
+    base = text(rng, 100)
+    rows = [(i, None, base) for i in range(12)] + [(100 + i, None, near(rng, base, 4)) for i in range(6)]
+    known = spark.createDataFrame(rows, "row_id bigint, image string, body string")
+    splits = spark.createDataFrame([(k, "train" if k < 8 or k > 102 else "eval") for k, _, _ in rows], "row_id bigint, split string")
+    found = {(r.train_row, r.eval_row) for r in overlaps(known, splits, "row_id", "image", "body").collect()}
+    train, test = [k for k, _, _ in rows if k < 8 or k > 102], [k for k, _, _ in rows if 8 <= k <= 102]
+    assert found == {(a, b) for a in train for b in test}
 
 
 def test_evenly_spread_edits_in_shuffled_sentences(spark):
