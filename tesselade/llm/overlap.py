@@ -32,13 +32,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesselade.llm.overlap_text import chunks, differing, sentences, word_counts
+from tesselade.llm.overlap_text import chunks, differing, sentences, views, word_counts
 from tesselade.operators.joins import salted_join
 from tesselade.session import materialise
 
 MIN_WORDS = 60
 MAX_DIFFERING = 0.1
 HOT_CLASSES = 2000  # evaluation classes of one digest that are joined in one part
+MAX_HOT = 200_000  # hot digests that are broadcast; more are joined by a shuffle
 COPIES = 20  # rows of one class whose chunks are joined; of more, one row's stand for all
 SMALL, LARGE = 2, 4  # numbers of 64 bits in the maps of a record's word counts
 VIEWS = 3  # chunks within sentences, chunks of the whole record, words
@@ -60,13 +61,10 @@ def cut(said: list[list[str]]) -> tuple[dict[int, list[int]], list[int]]:
     limit = int(len(whole) * MAX_DIFFERING / (1 - MAX_DIFFERING) + 1e-9)
     found: dict[int, list[int]] = {}
     wanted = []
-    for view, texts in enumerate((said, [whole])):
-        total = 0
-        for t in texts:
-            for digest, _, _ in chunks(t):
-                found.setdefault(digest, [0] * VIEWS)[view] += 1
-                total += 1
-        wanted.append(total - 2 * limit)
+    for view, digests in enumerate(views(said)):
+        for digest in digests:
+            found.setdefault(digest, [0] * VIEWS)[view] += 1
+        wanted.append(len(digests) - 2 * limit)
     if min(wanted) <= 0:
         for w in whole:
             found.setdefault(xxhash.xxh3_64_intdigest(w, seed=1), [0] * VIEWS)[2] += 1
@@ -166,12 +164,14 @@ def _shared(rows: DataFrame) -> DataFrame:
         needed |= (n > 0) & (F.col(f"upto{view}") >= F.col("wanted")[view])
     # A digest of many classes is split by a hash of the training class; its evaluation side goes to every part.
     parts = F.ceil(F.col("df") / HOT_CLASSES).cast("int")
-    hot = counted.where(F.col("df") > HOT_CLASSES).select("digest", parts.alias("parts"))
+    hot = materialise(counted.where(F.col("df") > HOT_CLASSES).select("digest", parts.alias("parts")))
     covered = F.sequence(_bucket(F.col("words") * (1 - MAX_DIFFERING) - 1e-6), _bucket(F.col("words") / (1 - MAX_DIFFERING) + 1e-6))
     right = kept.where(needed).select(F.col("id").alias("eval_id"), F.col("words").alias("ew"), *[F.col(b).alias(f"e{b}") for b in maps], "digest", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), covered.alias("covered"))
     right = right.select("*", F.explode("covered").alias("bucket")).drop("covered")
     left = rows.where("train").select(F.col("id").alias("train_id"), F.col("words").alias("tw"), *[F.col(b).alias(f"t{b}") for b in maps], F.explode("chunks").alias("c"))
-    left = left.withColumns({"digest": digest, "bucket": _bucket(F.col("tw"))}).drop("c").join(hot, "digest", "left")
+    left = left.withColumns({"digest": digest, "bucket": _bucket(F.col("tw"))}).drop("c")
+    digests = hot.count()
+    left = left.join(F.broadcast(hot) if digests <= MAX_HOT else hot, "digest", "left") if digests else left.withColumn("parts", F.lit(1))
     left = left.withColumn("part", F.pmod(F.xxhash64("train_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     alike = (F.col("train_id") != F.col("eval_id")) & _few_apart([(F.col(f"t{b}"), F.col(f"e{b}")) for b in maps])
     met = left.join(right, ["digest", "bucket", "part"]).where(alike).select("train_id", "eval_id").distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import xxhash
@@ -26,6 +27,18 @@ def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+def _cut(words: list[str], h: list[int], places: Iterable[int]) -> Iterator[tuple[int, int, int]]:
+    n = len(words)
+    for i in places:
+        if (i == 0 or h[i] < h[i - 1]) and (i == n - 1 or h[i] <= h[i + 1]):
+            start, end = i - BEFORE, i + AFTER + 1
+            if start < 0 or end > n:
+                content = f"{min(0, start)} {' '.join(words[max(0, start) : end])} {min(0, n - end)}"
+            else:
+                content = " ".join(words[start:end])
+            yield xxhash.xxh3_64_intdigest(content), max(0, start), min(n, end)
+
+
 def chunks(words: list[str]) -> list[tuple[int, int, int]]:
     """(digest, start, end) of the content-defined chunks, which overlap.
 
@@ -35,15 +48,29 @@ def chunks(words: list[str]) -> list[tuple[int, int, int]]:
     are never neighbours, an edit of one word, wherever it stands, destroys at
     most two chunks and moves no other.
     """
-    n = len(words)
-    h = [_hash(w) for w in words]
-    out = []
-    for i in range(n):
-        if (i == 0 or h[i] < h[i - 1]) and (i == n - 1 or h[i] <= h[i + 1]):
-            start, end = i - BEFORE, i + AFTER + 1
-            content = " ".join(words[max(0, start) : end])
-            out.append((xxhash.xxh3_64_intdigest(f"{min(0, start)} {content} {min(0, n - end)}"), max(0, start), min(n, end)))
-    return out
+    return list(_cut(words, [_hash(w) for w in words], range(len(words))))
+
+
+def views(said: list[list[str]]) -> tuple[list[int], list[int]]:
+    """Digests of the chunks within sentences and of those of the whole text.
+
+    A chunk that no sentence end clips is one of the whole text, too.
+    """
+    within: list[int] = []
+    whole: list[int] = []
+    words = [w for s in said for w in s]
+    hashes = [_hash(w) for w in words]
+    begin = 0
+    for s in said:
+        n = len(s)
+        for digest, start, end in _cut(s, hashes[begin : begin + n], range(n)):
+            within.append(digest)
+            if end - start == BEFORE + AFTER + 1:
+                whole.append(digest)
+        edges = sorted({0, *range(max(0, n - AFTER), n)})
+        whole += [d for d, _, _ in _cut(words, hashes, (begin + i for i in edges))]
+        begin += n
+    return within, whole
 
 
 def word_counts(words: list[str], longs: int) -> list[int]:

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tesselade.llm import overlap as O
 from tesselade.llm.overlap import cut, image_key, overlap_pairs, overlaps
-from tesselade.llm.overlap_text import chunks, differing, edits, sentences, word_counts
+from tesselade.llm.overlap_text import chunks, differing, edits, sentences, views, word_counts
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -37,6 +37,14 @@ def test_an_edit_destroys_two_chunks_at_most(said, data):
     assert sum((mine - theirs).values()) <= 2
 
 
+@given(st.lists(st.lists(st.sampled_from(WORDS[:30]), min_size=1, max_size=9), min_size=1, max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_views(said):
+    within, whole = views(said)
+    assert Counter(within) == Counter(d for s in said for d, _, _ in chunks(s))
+    assert Counter(whole) == Counter(d for d, _, _ in chunks([w for s in said for w in s]))
+
+
 def test_word_counts_bound():
     rng = random.Random(2)
     for _ in range(50):
