@@ -39,7 +39,7 @@ from tesselade.session import materialise
 MIN_WORDS = 60
 MAX_DIFFERING = 0.1
 HOT_CLASSES = 2000  # evaluation classes of one digest that are joined in one part
-MAX_HOT = 200_000  # hot digests that are broadcast; more are joined by a shuffle
+MAX_FEW = 200_000  # hot digests or popular classes that are broadcast; more are joined by a shuffle
 COPIES = 20  # rows of one class whose chunks are joined; of more, one row's stand for all
 SMALL, LARGE = 2, 4  # numbers of 64 bits in the maps of a record's word counts
 VIEWS = 3  # chunks within sentences, chunks of the whole record, words
@@ -139,6 +139,16 @@ def _bucket(words: Column | float) -> Column:
     return F.floor(F.log(words) / F.lit(-2 * math.log(1 - MAX_DIFFERING))).cast("int")
 
 
+def _looked_up(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    """Left join with a table that is small as a rule: it is counted, and rows
+    are moved only for one of more than ``MAX_FEW`` rows."""
+    few = materialise(few)
+    n = few.count()
+    if n:
+        return rows.join(F.broadcast(few) if n <= MAX_FEW else few, on, "left")
+    return rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in few.schema if f.name != on})
+
+
 def _few_apart(maps: list[tuple[Column, Column]]) -> Column:
     """The maps of word counts of two records of tw and ew words are near enough."""
     turned = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in maps), F.lit(0))
@@ -164,14 +174,13 @@ def _shared(rows: DataFrame) -> DataFrame:
         needed |= (n > 0) & (F.col(f"upto{view}") >= F.col("wanted")[view])
     # A digest of many classes is split by a hash of the training class; its evaluation side goes to every part.
     parts = F.ceil(F.col("df") / HOT_CLASSES).cast("int")
-    hot = materialise(counted.where(F.col("df") > HOT_CLASSES).select("digest", parts.alias("parts")))
+    hot = counted.where(F.col("df") > HOT_CLASSES).select("digest", parts.alias("parts"))
     covered = F.sequence(_bucket(F.col("words") * (1 - MAX_DIFFERING) - 1e-6), _bucket(F.col("words") / (1 - MAX_DIFFERING) + 1e-6))
     right = kept.where(needed).select(F.col("id").alias("eval_id"), F.col("words").alias("ew"), *[F.col(b).alias(f"e{b}") for b in maps], "digest", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), covered.alias("covered"))
     right = right.select("*", F.explode("covered").alias("bucket")).drop("covered")
     left = rows.where("train").select(F.col("id").alias("train_id"), F.col("words").alias("tw"), *[F.col(b).alias(f"t{b}") for b in maps], F.explode("chunks").alias("c"))
     left = left.withColumns({"digest": digest, "bucket": _bucket(F.col("tw"))}).drop("c")
-    digests = hot.count()
-    left = left.join(F.broadcast(hot) if digests <= MAX_HOT else hot, "digest", "left") if digests else left.withColumn("parts", F.lit(1))
+    left = _looked_up(left, hot, "digest")
     left = left.withColumn("part", F.pmod(F.xxhash64("train_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     alike = (F.col("train_id") != F.col("eval_id")) & _few_apart([(F.col(f"t{b}"), F.col(f"e{b}")) for b in maps])
     met = left.join(right, ["digest", "bucket", "part"]).where(alike).select("train_id", "eval_id").distinct()
@@ -207,7 +216,7 @@ def overlap_pairs(df: DataFrame, splits: DataFrame, key: str, image: str, text:
     # Copies of one record have one class, and one of them stands for a class of many.
     popular = marked.where("class is not null").groupBy("class").agg(F.count("*").alias("n"), F.min("at").alias("at"), F.max("train").alias("t"), F.max("eval").alias("e")).where(F.col("n") > COPIES)
     popular = popular.select("class", F.col("at").alias("first"), "t", "e")
-    standing = marked.where("class is not null").join(popular, "class", "left").where("first is null or first = at")
+    standing = _looked_up(marked.where("class is not null"), popular, "class").where("first is null or first = at")
     standing = standing.withColumns({"train": F.coalesce("t", "train"), "eval": F.coalesce("e", "eval")})
     pairs = materialise(_shared(standing))
     wanted = pairs.select(F.col("train_id").alias("id")).union(pairs.select("eval_id")).distinct()
