@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesselade.llm.leaks import leaks, without_leaks
+from tesselade.llm.leaks import leaks, without_leaks, without_spans
 from tesselade.session import table
 
 
@@ -23,5 +23,10 @@ def p7_clean(spark, sf_dir):
     return without_leaks(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id", _leaks(spark, sf_dir))
 
 
-QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans, "p7_clean": p7_clean}
+def p7_trimmed(spark, sf_dir):
+    """Texts without the lines that hold passages."""
+    return without_spans(table(spark, sf_dir, "documents"), "doc_id", "text", _leaks(spark, sf_dir))
+
+
+QUERIES = {"p7_trimmed": p7_trimmed, "p7_found": p7_found, "p7_spans": p7_spans, "p7_clean": p7_clean}
 ORACLE: dict[str, str] = {}

@@ -5,13 +5,13 @@ from __future__ import annotations
 import html
 import re
 
-from tesselade.llm.words import visible
+from tesselade.llm.words import WORD, folded, visible
 
-_WORD = re.compile(r"[^\W_]+")
 _ESCAPE = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|([nrtbf])|([\"/'\\]))")
-_BLOCK_TAG = re.compile(r"</?(?:p|br|hr|div|li|ul|ol|td|th|tr|table|tbody|thead|h[1-6]|section|article|pre|blockquote)\b[^<>]{0,200}>", re.I)
-_INLINE_TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]{0,15}(?:\s[^<>]{0,200})?/?>|<!--.{0,200}?-->", re.S)
-_LINK = re.compile(r"\]\([^()\s]{0,300}(?:\s+\"[^\"]{0,100}\")?\)")
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_BLOCK_TAG = re.compile(r"</?(?:p|br|hr|div|li|ul|ol|td|th|tr|table|tbody|thead|h[1-6]|section|article|pre|blockquote)\b[^<>]*>", re.I)
+_INLINE_TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>")
+_LINK = re.compile(r"\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
 _INSIDE = re.compile(r"(?<=\w)[*`~]+(?=\w)")
 
 
@@ -20,26 +20,47 @@ def _unescape(m: re.Match[str]) -> str:
     return chr(int(code, 16)) if code else " " if blank else mark
 
 
-def bare(text: str | None) -> str:
-    """Lower-case text without escapes, tags, link targets and hidden marks."""
+def readings(text: str | None) -> list[list[str]]:
+    """Words of a text without escapes, tags, comments, link targets and hidden
+    marks; and its words with the content of these, where that is more.
+
+    A passage may stand in a comment or an attribute as well as around one.
+    """
     if not text:
-        return ""
+        return [[]]
     if "\\" in text:
         text = _ESCAPE.sub(_unescape, text)
     if "&" in text:
         text = html.unescape(text)
-    if "<" in text:
-        text = _INLINE_TAG.sub("", _BLOCK_TAG.sub(" ", text))
-    if "](" in text:
-        text = _LINK.sub(" ", text)
-    text = visible(text)
-    if "*" in text or "`" in text or "~" in text:
-        text = _INSIDE.sub("", text)
-    return text.lower()
+    text = folded(visible(text))
+    plain = text
+    if "<" in plain:
+        if "<!--" in plain and "-->" in plain:
+            plain = _COMMENT.sub(" ", plain)
+        if ">" in plain:
+            plain = _INLINE_TAG.sub("", _BLOCK_TAG.sub(" ", plain))
+    if "](" in plain:
+        plain = _LINK.sub(" ", plain)
+    if "*" in plain or "`" in plain or "~" in plain:
+        plain = _INSIDE.sub("", plain)
+    found = [WORD.findall(plain)]
+    if plain != text and (whole := WORD.findall(text)) != found[0]:
+        found.append(whole)
+    return found
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(bare(text))
+    return readings(text)[0]
+
+
+def runs(same: list[bool], least: int, share: int = 10) -> list[tuple[int, int]]:
+    """The longest run that ``holds`` finds, and those left and right of it."""
+    best = holds(same, least, share)
+    if best is None:
+        return []
+    start, end = best
+    right = [(a + end, b + end) for a, b in runs(same[end:], least, share)]
+    return [*runs(same[:start], least, share), best, *right]
 
 
 def holds(same: list[bool] | bytes, least: int, share: int = 10) -> tuple[int, int] | None:

@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesselade.llm.leak_text import holds, words
+from tesselade.llm.leak_text import readings, runs, words
+from tesselade.session import materialise
 
 LEAST, SHARE = 20, 10  # words of a passage; one in SHARE may differ
 NGRAM = 6  # (LEAST - LEAST // SHARE) / (LEAST // SHARE + 1)
@@ -76,9 +77,17 @@ def _items(rows: tuple) -> _Items:
 
 
 def passages(items: _Items, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, start in the text, start in the item, words) of each alignment."""
+    """(text, item, start in the text, start in the item, words) of each passage.
+
+    Places count the words of a text's first reading; a further one gives only
+    items that the first doesn't hold, at place -1.
+    """
     get = items.vocab.get
-    said = [[get(w, 0) for w in words(t)] for t in texts]
+    owners, said = [], []
+    for i, t in enumerate(texts):
+        for n, reading in enumerate(readings(t)):
+            owners.append((i, n))
+            said.append([get(w, 0) for w in reading])
     begin = np.cumsum([LEAST, *[len(x) + LEAST for x in said]])
     flat = np.full(int(begin[-1]) + LEAST, -2, np.int32)
     for at, x in zip(begin, said):
@@ -119,19 +128,20 @@ def passages(items: _Items, texts: list[str | None]) -> list[tuple[int, int, int
         left = min(p - int(begin[text]), q - items.begin[item])
         n = left + min(int(begin[text]) + len(said[text]) - p, items.end[item] - q)
         a, b = p - left, q - left
-        run = holds((flat[a : a + n] == items.flat[b : b + n]).tolist(), LEAST, SHARE)
-        if run:
-            out.append((text, item, a + run[0] - int(begin[text]), b + run[0] - items.begin[item], run[1] - run[0]))
-    return out
+        for start, end in runs((flat[a : a + n] == items.flat[b : b + n]).tolist(), LEAST, SHARE):
+            out.append((text, item, a + start - int(begin[text]), b + start - items.begin[item], end - start))
+    first = {(owners[t][0], item) for t, item, *_ in out if owners[t][1] == 0}
+    return [(owners[t][0], item, at if owners[t][1] == 0 else -1, start, n) for t, item, at, start, n in out if owners[t][1] == 0 or (owners[t][0], item) not in first]
 
 
 def leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(key, item, text_start, item_start, words) of every passage found.
 
     Places count words. A document that holds an item in several places gives
-    a row each. Null, empty and short texts or items hold nothing; repeated
-    documents are cases of their own, repeated items too. Evaluation text
-    beyond ``BLOCK_BYTES`` is matched in blocks, a scan of the corpus each.
+    a row each; text_start is -1 where it stands only in mark-up. Null, empty
+    and short texts or items hold nothing; repeated documents are cases of their
+    own, repeated items too. Evaluation text beyond ``BLOCK_BYTES`` is matched in
+    blocks, a scan of the corpus each; one block at a time is on the driver.
     """
     wanted = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item"), F.col(item_text).alias("text"))
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -158,7 +168,11 @@ def leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, i
                     low = high
                 yield pd.DataFrame(out, columns=["key", "item", "text_start", "item_start", "words"])
 
-        parts.append(rows.mapInPandas(run, schema))
+        part = rows.mapInPandas(run, schema)
+        if blocks > 1:
+            part = materialise(part)
+            shared.destroy()
+        parts.append(part)
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
@@ -168,3 +182,39 @@ def leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, i
 def without_leaks(df: DataFrame, key: str, found: DataFrame) -> DataFrame:
     """The documents that hold no item; rows without key are kept."""
     return df.join(found.select(key).distinct(), key, "left_anti")
+
+
+def trimmed(text: str | None, spans: list[tuple[int, int]] | None) -> str | None:
+    """The lines of a text that hold no word of a span (start, words).
+
+    None where lines can't be told apart: a passage in mark-up, or mark-up
+    that goes over a line end.
+    """
+    if not spans:
+        return text
+    lines = text.splitlines(keepends=True)
+    counts = [len(words(x)) for x in lines]
+    if any(start < 0 for start, _ in spans) or sum(counts) != len(words(text)):
+        return None
+    kept, at = [], 0
+    for line, n in zip(lines, counts):
+        if not n or all(at + n <= start or start + length <= at for start, length in spans):
+            kept.append(line)
+        at += n
+    return "".join(kept)
+
+
+def without_spans(df: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
+    """(key, text) of all documents, without the lines that hold a passage of
+    ``found``; documents of which ``trimmed`` makes nothing are left out."""
+    spans = found.groupBy(key).agg(F.collect_set(F.struct("text_start", "words")).alias("spans"))
+    rows = df.select(key, F.col(text).alias("text")).join(spans, key, "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pairs = [None if s is None else [(x["text_start"], x["words"]) for x in s] for s in pdf["spans"]]
+            kept = [trimmed(t, s) for t, s in zip(pdf["text"], pairs)]
+            keep = [s is None or k is not None for k, s in zip(kept, pairs)]
+            yield pd.DataFrame({key: pdf[key], "text": kept})[keep]
+
+    return rows.mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, text string")

@@ -75,3 +75,30 @@ def test_leaks(spark, monkeypatch):
     assert {(r.doc_id, r.item) for r in L.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()} == pairs
     assert L.leaks(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
     assert L.leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
+
+
+def test_long_mark_up_and_compatible_letters():
+    link = "x" * 500
+    assert words(f'the <a href="{link} {link}">lamp</a> by [the water](http://{link}) <!-- {link} {link} -->') == ["the", "lamp", "by", "the", "water"]
+    assert words("für ﬁne ＷＯＲＤ") == words("für fine word")
+
+
+def test_passage_inside_mark_up():
+    item = " ".join(WORDS[:30])
+    for text in (f"Before <!-- {item} --> after.", f'<img alt="{item}"> after', f"<p>{item}</p>"):
+        assert {i for _, i, *_ in L.passages(L._Items([(7, item)]), [text])} == {0}
+
+
+def test_two_passages_of_one_alignment():
+    item = WORDS[:80]
+    text = item[:25] + ["other"] * 20 + item[45:]
+    assert [(a, n) for _, _, a, _, n in L.passages(L._Items([(7, " ".join(item))]), [" ".join(text)])] == [(0, 27), (42, 38)]
+
+
+def test_trimmed(spark):
+    item = " ".join(WORDS[:30])
+    texts = {1: f"Kept line.\n{item}\nKept too.", 2: "Nothing here.", 3: None, 4: f"<b\n title='x'>{item}</b>", 5: f"{' '.join(WORDS[:10])}\n{' '.join(WORDS[10:30])} tail\nend"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    left = dict(L.without_spans(docs, "doc_id", "text", L.leaks(docs, "doc_id", "text", items, "item_id", "text")).collect())
+    assert left == {1: "Kept line.\nKept too.", 2: "Nothing here.", 3: None, 5: "end"}
