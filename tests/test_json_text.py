@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tesselade.functions import jsonscan as J
 from tesselade.functions import text as X
@@ -32,6 +34,30 @@ def test_repair(text):
     assert found["a"] == 1
 
 
+@pytest.mark.parametrize(
+    "text,value",
+    [
+        ('{"a": 1,}', '{"a": 1}'), ('{"a": 1 "b": [1 2,,3,]}', '{"a": 1, "b": [1, 2,3]}'), ('x {"a": "1, 2}" "b": {"c": [true', '{"a": "1, 2}", "b": {"c": [true]}}'), ('{"a": 1]} tail {', '{"a": 1}'),
+        ('[1, 2', "[1, 2]"), ("none", "none"), ("{", "{}"), ('{"a": "b', '{"a": "b"}'), ("", ""), ('{"a": 1,', '{"a": 1,}'),
+    ],
+)
+def test_rebuilt(text, value):
+    assert J.rebuilt(text) == value
+
+
+def test_plain_json_text():
+    assert J.plain_json_text("\ufeff```json\r\n{“a”: 1}\r```\n") == '{"a": 1}'
+    assert J.plain_json_text("```\n{}") == "{}" and J.plain_json_text(" {}\r\n ") == "{}"
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=8), lambda v: st.lists(v, max_size=4) | st.dictionaries(st.text(max_size=4), v, max_size=4)), st.integers(0, 60))
+@settings(max_examples=200, deadline=None)
+def test_rebuilt_keeps_what_is_valid(value, cut):
+    text = json.dumps([value])
+    assert json.loads(J.rebuilt(text)) == [value]
+    assert J.rebuilt(text[: max(1, cut)]).count("[") >= 1
+
+
 def test_udfs(spark):
     df = spark.createDataFrame([('x {"a": 1} y',), ("no",), (None,), ('{"a": 1,}',), ("",)], "t string")
     assert [r[0] for r in df.select(J.json_value("t")).collect()] == ['{"a": 1}', None, None, None, None]
