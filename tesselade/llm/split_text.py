@@ -16,7 +16,37 @@ _ITEM = re.compile(rb"(?m)^[ \t>]*(?:[-*+]|\xe2\x80\xa2|\(?\d{1,3}[.)]|<li\b|<tr
 _LINE = re.compile(rb"(?:\r\n|\n|\r)")
 _SENTENCE = re.compile(rb"[.!?][\"')\]*_]*(?=\s)|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|[;,](?=\s*\")")
 _WORD = re.compile(rb"\s+")
-_LEAD = re.compile(rb"[\x00-\x7f\xc0-\xff]")
+_FENCE = re.compile(rb"(?m)^[ \t]{0,3}(```|~~~)[^\r\n]*(?:\r?\n|\r|\Z)")
+_TABLE = re.compile(rb"(?m)(?:^[ \t]*\|[^\r\n]*(?:\r?\n|\r|\Z)){2,}")
+_JSON = re.compile(rb"\s*[{\[]\s*[\"{\[\d\]}tfn-]")
+_NESTED = re.compile(rb'"(?:[^"\\]|\\.)*"|[{}\[\],]', re.S)
+
+
+def fences(raw: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the code blocks, their fences included."""
+    found: list[tuple[int, int]] = []
+    opened: tuple[int, bytes] | None = None
+    for m in _FENCE.finditer(raw):
+        if opened is None:
+            opened = m.start(), m.group(1)
+        elif m.group(1) == opened[1]:
+            found.append((opened[0], m.end()))
+            opened = None
+    return found + [(opened[0], len(raw))] if opened else found
+
+
+def _members(raw: bytes) -> list[tuple[int, int]]:
+    """(level, offset) behind the commas of a JSON text, by depth."""
+    depth, found = 0, []
+    for m in _NESTED.finditer(raw):
+        c = m.group()
+        if c in b"{[":
+            depth += 1
+        elif c in b"}]":
+            depth -= 1
+        elif c == b"," and depth > 0:
+            found.append((min(5 + depth, 8), m.end()))
+    return found
 
 
 def boundaries(raw: bytes, starts: np.ndarray) -> dict[int, int]:
@@ -32,13 +62,33 @@ def boundaries(raw: bytes, starts: np.ndarray) -> dict[int, int]:
                     found[i] = level
                 return
 
+    blocks = fences(raw)
+    begins = [a for a, _ in blocks]
+
+    def coded(offset: int) -> bool:
+        """Inside a code block, where only blank and other lines are boundaries."""
+        at = bisect_right(begins, offset) - 1
+        return at >= 0 and blocks[at][0] < offset < blocks[at][1]
+
+    for a, b in [*blocks, *(m.span() for m in _TABLE.finditer(raw) if not coded(m.start()))]:
+        mark(6, a)
+        mark(6, b)
+    if _JSON.match(raw):
+        for level, offset in _members(raw):
+            mark(level, offset)
     for m in _HEADING.finditer(raw):
+        if coded(m.start()):
+            continue
         mark((len(m.group(1)) if m.group(1) else int(m.group(2))) - 1, m.start())
     for m in _RULED.finditer(raw):
+        if coded(m.start()):
+            continue
         mark(0 if m.group(1)[:1] == b"=" else 1, m.start())
     for m in _PARAGRAPH.finditer(raw):
-        mark(6, m.end(), m.start())
+        mark(7 if coded(m.start()) else 6, m.end(), m.start())
     for m in _ITEM.finditer(raw):
+        if coded(m.start()):
+            continue
         mark(7, m.end() if m.group()[:1] in b"}]" else m.start())
     for m in _LINE.finditer(raw):
         mark(8, m.end(), m.start())
@@ -78,7 +128,11 @@ def pack(raw: bytes, lengths: np.ndarray, limit: int, overlap: int) -> list[tupl
         by_level[level].append(place)
 
     def cut(low: int, high: int, level: int, fine: list[list[int]] | None) -> list[tuple[int, int]]:
-        """Units of an oversized node, from the boundaries of its level down."""
+        """Units of an oversized node, from the boundaries of its level down.
+
+        Only oversized children are cut; their last unit and the children after
+        it are merged as long as they fit.
+        """
         while level < len(LEVELS):
             if level == 10 and fine is None:
                 fine = [[] for _ in LEVELS]
@@ -91,25 +145,30 @@ def pack(raw: bytes, lengths: np.ndarray, limit: int, overlap: int) -> list[tupl
             level += 1
         edges = [low, *inner, high]
         units: list[tuple[int, int]] = []
-        whole = False  # the last unit is made of whole siblings
         for a, b in zip(edges, edges[1:]):
             if b - a > most:
                 units.extend(cut(a, b, level + 1, fine))
-                whole = False
-            elif whole and b - units[-1][0] <= most:
+            elif units and b - units[-1][0] <= most:
                 units[-1] = (units[-1][0], b)
             else:
                 units.append((a, b))
-                whole = True
         return units
 
-    units: list[tuple[int, int]] = []
-    for a, b in cut(0, total, 0, None):
-        # A unit with less of its own than a piece shares goes with a neighbour that has room.
-        if units and min(b - a, units[-1][1] - units[-1][0]) < overlap and b - units[-1][0] <= most:
-            units[-1] = (units[-1][0], b)
+    units = cut(0, total, 0, None)
+    i = 0
+    while i < len(units):
+        # A unit with less of its own than a piece shares joins a neighbour that has room, over the weaker boundary.
+        a, b = units[i]
+        sides = []
+        if b - a < overlap and i and b - units[i - 1][0] <= most:
+            sides.append((marks.get(a, 99), i - 1))
+        if b - a < overlap and i + 1 < len(units) and units[i + 1][1] - a <= most:
+            sides.append((marks.get(b, 99), i))
+        if sides:
+            i = max(sides)[1]
+            units[i : i + 2] = [(units[i][0], units[i + 1][1])]
         else:
-            units.append((a, b))
+            i += 1
     while len(units) > 1 and units[0][1] < overlap:  # the first piece must hold what the second shares
         units[:2] = [(0, units[1][1])]
     named = [LEVELS[marks[b]] if b in marks else None for _, b in units]

@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 
 from tesselade.llm.bpe import ByteBPE, encoder
 from tesselade.llm.encode import PATTERN, encode
-from tesselade.llm.split_text import pack
+from tesselade.llm.split_text import LEVELS, boundaries, fences, pack
 from tesselade.llm.splitting import pieces
 
 PATH = "/opt/tokenizers/byte_bpe_50k.json"
@@ -90,3 +90,39 @@ def test_pieces(spark):
     assert all(len(bpe.encode(r.text)) <= 1000 for r in found) and mine[0].text == long[: len(mine[0].text)]
     assert pieces(df, "doc_id", "text", content=False).columns == ["doc_id", "piece", "start_token", "end_token", "boundary"]
     assert pieces(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_code_blocks_are_nodes():
+    code = "```python\n# no heading\nx = 1\n\n## none\ny = 2\n```\n"
+    raw = f"# One\ntext\n\n{code}# Two\ntail\n".encode()
+    assert [raw[a:b] for a, b in fences(raw)] == [code.encode()]
+    marks = boundaries(raw, np.arange(len(raw)))
+    named = {raw[i:].split(b"\n")[0]: LEVELS[level] for i, level in marks.items() if raw[i - 1 : i] == b"\n"}
+    assert named[b"# Two"] == "heading 1" and named[b"# no heading"] == "line" and named[b"## none"] == "item" and named[b"```python"] == "paragraph"
+
+
+def test_json_members_by_depth():
+    raw = b'{"a": {"b": 1, "c": [1, 2]}, "d": "x, y"}'
+    marks = {raw[i:][:4]: LEVELS[level] for i, level in boundaries(raw, np.arange(len(raw))).items()}
+    assert marks[b' "d"'] == "paragraph" and marks[b' "c"'] == "item" and b" y\"}" not in marks
+
+
+def test_no_cut_at_a_weaker_boundary_than_there_is():
+    """A unit of its own size holds no boundary stronger than the one that it ends at."""
+    rng = np.random.default_rng(4)
+    kinds = ["# H{}\n", "## H{}\n", "\nPara {} goes on. It ends here.\n\n", "- item {}\n- other\n", "| a | {} |\n| b | c |\n", "```\n# code {}\n\nx\n```\n", "A line {} without an end\n"]
+    cuts = weaker = 0
+    for _ in range(60):
+        raw = "".join(kinds[k].format(i) for i, k in enumerate(rng.integers(0, len(kinds), 120))).encode()
+        limit, overlap = 220, 20
+        marks = boundaries(raw, np.arange(len(raw)))
+        found = pack(raw, np.ones(len(raw), np.int64), limit, overlap)
+        begin = 0
+        for _, end, name in found[:-1]:
+            stronger = [p for p, level in marks.items() if begin < p < end and level < LEVELS.index(name)]
+            # only a unit with less of its own than is shared may hold one
+            weaker += any(p - begin >= overlap and end - p >= overlap for p in stronger)
+            cuts += 1
+            begin = end
+    # a small unit whose neighbour over the weaker boundary has no room joins the other one
+    assert cuts > 500 and weaker <= cuts // 200
