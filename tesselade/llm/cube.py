@@ -5,7 +5,7 @@ kept as a whole number of parts of the count, so that no rounding can unbalance
 a sample. The balancing variables are the category indicators. A direction of
 the flight is a vector in their kernel: among units of one category it moves
 probability from one to another and leaves every count as it is. A flight runs
-over each partition in random order and holds one open unit a line of a plan;
+over each of ``PARTS`` parts in random order and holds one open unit a line of a plan;
 what stays open merges upward, up to ``FAN`` partitions at a time, until one
 open unit a line is left at most. With whole targets its probability has then
 become 0 or 1; for others the landing draws it.
@@ -20,10 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesselade.operators.joins import salted_join
 from tesselade.session import first_delivery, materialise
 
+PARTS = 4096  # parts by key in which the first flights run, however the rows are stored
 FAN, LEVELS = 64, 3  # partitions that merge into one, and how often; the last level merges all that is left
-MAX_PLAN_LINES = 100_000  # plan lines that are broadcast; more are joined by shuffle
+MAX_PLAN_LINES = 100_000  # plan lines that are broadcast; more are joined by shuffle, hot categories split
+
+
 def _draw(seed: int, plan: int, a, b) -> float:
     """A uniform number that depends on the meeting units alone."""
     return xxhash.xxh3_64_intdigest(f"{seed}|{plan}|{a}|{b}") / 2.0**64
@@ -98,11 +102,13 @@ def balanced_sample(df: DataFrame, key: str, category: str, plans: DataFrame, or
     lines = materialise(plan_lines(plans, records))
     open_lines = lines.where("target > 0 and available > 0").select("plan_id", "category", F.least("target", "available").alias("mass"), F.col("available").alias("whole"))
     if lines.limit(MAX_PLAN_LINES + 1).count() <= MAX_PLAN_LINES:
-        open_lines = F.broadcast(open_lines)
-    units = records.withColumnRenamed(key, "key").join(open_lines, "category")
-    units = units.select("plan_id", "category", "key", "mass", "whole", F.spark_partition_id().alias("at"), F.lit(False).alias("chosen"))
+        units = records.withColumnRenamed(key, "key").join(F.broadcast(open_lines), "category")
+    else:
+        units = salted_join(records.withColumnRenamed(key, "key"), open_lines, ["category"])
+    at = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(PARTS)).cast("int")
+    units = units.select("plan_id", "category", "key", "mass", "whole", at.alias("at"), F.lit(False).alias("chosen"))
     schema = f"plan_id {dict(plans.dtypes)['plan_id']}, category string, key {dict(units.dtypes)['key']}, mass bigint, whole bigint, at int, chosen boolean"
-    shuffled = units.sortWithinPartitions(F.xxhash64("key", F.lit(seed)), "key", "plan_id")
+    shuffled = units.repartition("at").sortWithinPartitions("at", F.xxhash64("key", F.lit(seed)), "key", "plan_id")
     flown = materialise(shuffled.mapInPandas(lambda batches: _flight(batches, seed, False), schema))
     merged = flown.where("not chosen")
     for level in range(1, LEVELS + 1):

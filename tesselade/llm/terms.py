@@ -51,4 +51,6 @@ def marked(counts: DataFrame, limits: DataFrame) -> DataFrame:
     """
     bounds = limits.where("field is not null").groupBy("field").agg(F.max("min_records").alias("min_records"), F.min("max_share").alias("max_share"))
     mark = F.when(F.col("records") < F.col("min_records"), "rare").when(F.col("records") > F.col("max_share") * F.col("all_records"), "common")
+    size = bounds.agg(F.sum(F.octet_length("field") + 64)).first()[0] or 0
+    bounds = F.broadcast(bounds) if size <= MAX_LIMIT_BYTES else bounds
     return counts.join(bounds, "field", "left").withColumn("mark", mark).drop("min_records", "max_share")

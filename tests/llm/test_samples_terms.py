@@ -60,3 +60,15 @@ def test_terms(spark):
     marks = {(r.field, r.term): r.mark for r in marked(counts, limits).collect()}
     assert marks == {("tags", "a"): "common", ("tags", ""): "rare", ("tags", "A "): "rare", ("again", "a"): None, ("again", ""): None, ("again", "A "): None}
     assert term_counts(df.limit(0), "row_id", {"tags": F.col("tags")}).count() == 0
+
+
+def test_the_sample_does_not_depend_on_partitions(spark, monkeypatch):
+    from tesselade.llm import cube
+
+    rows = spark.createDataFrame([(i, "ab"[i % 3 == 0], i) for i in range(500)], "row_id bigint, c string, at int")
+    plans = spark.createDataFrame([(1, 40, "a", 0.5, 0), (1, 40, "b", 0.5, 0)], "plan_id int, sample_rows bigint, category string, target_share double, min_rows bigint")
+    draw = lambda n: {r.row_id for r in cube.balanced_sample(rows.repartition(n), "row_id", "c", plans)[0].collect()}
+    first = draw(1)
+    assert len(first) == 40 and draw(7) == first
+    monkeypatch.setattr(cube, "MAX_PLAN_LINES", 0)
+    assert draw(3) == first
