@@ -151,8 +151,14 @@ def explanation_surface(spark, sf_dir):
 
 
 def _surfaces(spark, sf_dir):
-    gold = _gold(spark, sf_dir).where("gold is not null").select("row_id", X.tokens(derive.explanation_surface(derive.normal_prediction(F.col("gold")))).alias("r"))
-    return explanation_surface(spark, sf_dir).join(gold, "row_id").select("row_id", "prediction_source", "inference_mode", "r", X.tokens(F.col("surface")).alias("h"))
+    """Tokens of the gold (r) and the predicted surface (h) of each prediction.
+
+    Both tables grow, and the planner takes their texts and token arrays for far
+    smaller than they are: the join is never broadcast, and only pairs are tokenized.
+    """
+    gold = _gold(spark, sf_dir).where("gold is not null").select("row_id", derive.explanation_surface(derive.normal_prediction(F.col("gold"))).alias("gold"))
+    pairs = explanation_surface(spark, sf_dir).join(gold.hint("merge"), "row_id")
+    return pairs.select("row_id", "prediction_source", "inference_mode", X.tokens(F.col("gold")).alias("r"), X.tokens(F.col("surface")).alias("h"))
 
 
 def _text(field):
